@@ -10,6 +10,7 @@ with the word it distorts.  A text's score is that of its most toxic passage.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,13 @@ from ._shared import binary_column, held_out, small_batches, texts, words_of
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6, 7, 8)
 DIM = 8
-PASSAGE = 100
+PASSAGE = 60
+LEAST = 12  # a shorter passage is filled up with empty words
+
+
+def bag_of(text: bytes | None) -> list[bytes]:
+    """Words of a text, a word that follows itself taken once."""
+    return [w for w, _ in groupby(words_of(text))]
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +94,14 @@ class Softmax:
                     out[i] = self.bias
                     continue
                 runs = passages(len(words))
-                means = sums_by(np.fromiter(map(seen.__getitem__, words), np.float64, len(words)), runs) / runs
+                means = sums_by(np.fromiter(map(seen.__getitem__, words), np.float64, len(words)), runs) / np.maximum(runs, LEAST)
                 out[i] = means.max() + self.bias
             return 1 / (1 + np.exp(-np.clip(self.slope * out + self.shift, -30, 30)))
 
         return score
 
 
-def train(words: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, steps: int = 60, seed: int = 11, rate: float = 0.02, damp: float = 1e-6, decay: float = 0.0, min_texts: int = 3, min_share: float = 0.004) -> Softmax:
+def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = None, epochs: int = 9, steps: int = 60, seed: int = 11, rate: float = 0.05, damp: float = 1e-5, min_texts: int = 3, min_share: float = 0.01) -> Softmax:
     """Joint training of embeddings and softmax by Adam on balanced batches.
 
     Early epochs draw passages of either class under their text's label; later
@@ -131,7 +138,7 @@ def train(words: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, steps: i
         pools = [np.flatnonzero(label == y) for y in (0, 1)]
         if epoch >= epochs // 3:
             vectors = sums_by(table[ids], sub_counts) / sub_counts[:, None]
-            margin = sums_by((vectors @ (head[:, 1] - head[:, 0]))[flat], runs) / runs
+            margin = sums_by((vectors @ (head[:, 1] - head[:, 0]))[flat], runs) / np.maximum(runs, LEAST)
             order = np.lexsort((-margin, owner))
             top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
             pools = [np.r_[top[label[top] == 0], rng.choice(pools[0], min(len(pools[0]), len(top)))], top[label[top] == 1]]
@@ -145,13 +152,14 @@ def train(words: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, steps: i
             spans = sub_counts[uniq]
             subs = ids[np.repeat(sub_start[uniq] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
             vectors = sums_by(table[subs], spans) / spans[:, None]
-            mean = sums_by(vectors[back], n) / n[:, None]
+            slots = np.maximum(n, LEAST)[:, None]
+            mean = sums_by(vectors[back], n) / slots
             logits = mean @ head + offset
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), label[part]] -= 1
             p /= len(part)
-            to_word = np.repeat((p @ head.T) / n[:, None], n, axis=0)
+            to_word = np.repeat((p @ head.T) / slots, n, axis=0)
             word_grad = np.stack([np.bincount(back, to_word[:, d], minlength=len(uniq)) for d in range(DIM)], 1) / spans[:, None]
             sub_grad = np.repeat(word_grad, spans, axis=0)
             grads = [np.stack([np.bincount(subs, sub_grad[:, d], minlength=BUCKETS) for d in range(DIM)], 1) * known, mean.T @ p, p.sum(axis=0)]
@@ -159,22 +167,26 @@ def train(words: list[list[bytes]], toxic: np.ndarray, epochs: int = 8, steps: i
             for value, grad, (m, v) in zip((table, head, offset), grads, state):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
-                value -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + damp) + decay * value)
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + damp)
     model = Softmax(table @ (head[:, 1] - head[:, 0]), float(offset[1] - offset[0]))
-    return _calibrated(model, [words[i] for i in sorted(aside)], toxic[sorted(aside)])
+    return _calibrated(model, [words[i] for i in sorted(aside)], toxic[sorted(aside)], prior)
 
 
-def _calibrated(model: Softmax, words: list[list[bytes]], toxic: np.ndarray, cutoff: float = 0.3) -> Softmax:
+def _calibrated(model: Softmax, words: list[list[bytes]], toxic: np.ndarray, prior: float | None, cutoff: float = 0.3) -> Softmax:
     """Put the score ``cutoff`` where texts not trained on separate best: the
-    middle of the gap of logits with the largest F1, the slope from their spread."""
+    middle of the gap of logits with the largest F1, clean texts weighing as in
+    the corpus where ``prior`` of the labelled texts are toxic; the slope from
+    the spread of the logits."""
     if len(set(toxic.tolist())) < 2:
         return model
     p = np.clip(model.scorer()(words), 1e-12, 1 - 1e-12)
     logits = np.log(p / (1 - p))
     order = np.argsort(-logits, kind="stable")
     x, y = logits[order], toxic[order]
+    share = y.mean()
+    each = np.where(y == 1, 1.0, 1.0 if prior is None else (1 - prior) / prior * share / (1 - share))
     hits = np.cumsum(y)
-    f1 = np.where(np.r_[x[:-1] > x[1:], True], 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    f1 = np.where(np.r_[x[:-1] > x[1:], True], 2 * hits / (np.cumsum(each) + y.sum()), -1)
     best = int(f1.argmax())
     cut = (x[best] + x[min(best + 1, len(x) - 1)]) / 2
     slope = 4.0 / max(float(np.median(np.abs(x - cut))), 1e-3)
@@ -197,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = known.filter(draw < share)
     rows = texts(docs, id_col, text_col).filter(F.col("text").isNotNull() & (F.length("text") <= max_train_chars))
     sample = rows.join(drawn, "doc_id").select("doc_id", "text", "y").limit(2 * max_train_docs).toPandas().sort_values(["doc_id", "text"])
-    return train([words_of(t.encode()) for t in sample["text"]], sample["y"].to_numpy(np.int64))
+    return train([bag_of(t.encode()) for t in sample["text"]], sample["y"].to_numpy(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_toxicity(docs: DataFrame, model: Softmax, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
@@ -215,7 +227,7 @@ def score_toxicity(docs: DataFrame, model: Softmax, id_col: str = "doc_id", text
 
         run = model.scorer()
         for batch in batches:
-            found = run([words_of(t) for t in binary_column(batch, "text")])
+            found = run([bag_of(t) for t in binary_column(batch, "text")])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= cutoff).astype(np.int32), pa.int32())],
                 ["doc_id", "held_out", "score", "predicted"],
