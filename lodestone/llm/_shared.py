@@ -63,9 +63,13 @@ def text_key() -> Column:
     return F.xxhash64("text").alias("th")
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of (doc_id, th)."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
+def join_rows(left: DataFrame, right: DataFrame, how: str = "left", hash_right: bool = False) -> DataFrame:
+    """Join on (doc_id, th), null-safe.  ``hash_right``: ``right`` is small in
+    every partition, so it is hashed and the texts on the left are not sorted."""
+    other = right.withColumnsRenamed({"doc_id": "__doc_id", "th": "__th"})
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("th") == F.col("__th"))
+    joined = left.join(other.hint("shuffle_hash") if hash_right else other, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop("__doc_id", "__th")
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
@@ -82,7 +86,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z to lower case, other characters as they are.  Texts of ASCII alone
+    take the faster built-in, which does the same to them."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words_of(text: bytes | None) -> list[bytes]:

@@ -24,47 +24,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, binary_column, bins, cut, mix64, salted_join, same_row, shingle_hashes, small_batches, text_key, texts
+from ._shared import WordHashes, binary_column, bins, cut, join_rows, mix64, salted_join, shingle_hashes, small_batches, text_key, texts
 
 SEED = 8
-SAMPLE = 4  # packed words between rank samples
 
 
 class WaveletMatrix:
-    """Rank over integers below 2**levels: one packed bit vector per level."""
+    """Rank over integers below 2**levels: one packed bit vector per level, with
+    the set bits before each packed word."""
 
-    def __init__(self, values: np.ndarray, levels: int):
+    def __init__(self, values: np.ndarray, levels: int, symbols: int):
         self.n, self.levels, self.bits, self.ranks, self.zeros = len(values), levels, [], [], []
         for level in range(levels - 1, -1, -1):
             bit = ((values >> level) & 1).astype(bool)
             packed = np.packbits(bit, bitorder="little")
-            packed = np.pad(packed, (0, -len(packed) % (8 * SAMPLE) + 8 * SAMPLE)).view(np.uint64)
-            per_word = np.bitwise_count(packed).astype(np.int32)
+            packed = np.pad(packed, (0, -len(packed) % 8 + 8)).view(np.uint64)
             self.bits.append(packed)
-            self.ranks.append(np.concatenate([[0], np.cumsum(per_word.reshape(-1, SAMPLE).sum(axis=1))]).astype(np.int32))
+            self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
             self.zeros.append(int(self.n - bit.sum()))
             values = np.concatenate([values[~bit], values[bit]])
+        # Where a symbol's values begin on the last level: the same for all ranks.
+        self.first = self._descend(np.arange(symbols), np.zeros(symbols, np.int64))
 
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Set bits before each position."""
-        word = at >> 6
-        block = word // SAMPLE
-        total = self.ranks[level][block].astype(np.int64)
-        for j in range(SAMPLE - 1):
-            full = block * SAMPLE + j
-            total += np.where(full < word, np.bitwise_count(self.bits[level][full]), 0)
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return total + np.bitwise_count(self.bits[level][word] & mask)
+    def _descend(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for i in range(self.levels):
+            word = at >> 6
+            mask = (np.uint64(1) << (at & 63).view(np.uint64)) - np.uint64(1)
+            ones = self.ranks[i][word] + np.bitwise_count(self.bits[i][word] & mask)
+            at = np.where((symbols >> (self.levels - 1 - i)) & 1, self.zeros[i] + ones, at - ones)
+        return at
 
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its position."""
-        low, high = np.zeros_like(at), at.copy()
-        for i in range(self.levels):
-            bit = ((symbols >> (self.levels - 1 - i)) & 1).astype(bool)
-            ones_low, ones_high = self._ones(i, low), self._ones(i, high)
-            low = np.where(bit, self.zeros[i] + ones_low, low - ones_low)
-            high = np.where(bit, self.zeros[i] + ones_high, high - ones_high)
-        return high - low
+        return self._descend(symbols, at) - self.first[symbols]
 
 
 class FMIndex:
@@ -89,19 +81,21 @@ class FMIndex:
             follow = np.full(n, -1, np.int64)
             follow[: n - h] = rank[h:]
             key = rank * (n + 2) + follow + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             fresh = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
             rank = np.empty(n, np.int64)
             rank[order] = fresh
             h *= 2
             kept[h] = rank
+            if h >= window:
+                kept.pop(h)
             if h >= longest or fresh[-1] == n - 1:
                 break
         self.same, self.least = self._classes(kept, order, owner, window)
         previous = text[order - 1]
         self.levels = max(1, int(len(alphabet)).bit_length())
-        self.wavelet = WaveletMatrix(previous, self.levels)
+        self.wavelet = WaveletMatrix(previous, self.levels, len(alphabet) + 1)
         self.before = np.cumsum(np.bincount(text, minlength=len(alphabet) + 2)) - np.bincount(text, minlength=len(alphabet) + 2)
         self.n = n
 
@@ -252,7 +246,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 ["doc_id", "th", "m", "first", "words", "key"],
             )
 
-    with_text = keyed.join(suspects.hint("shuffle_hash"), same_row(keyed, suspects)).select(keyed["doc_id"], keyed["th"], "text", "runs")
+    with_text = join_rows(keyed, suspects, "inner", hash_right=True).select("doc_id", "th", "text", "runs")
     parts = cut(with_text.mapInArrow(segments, f"doc_id {kind}, th long, m long, first int, words binary, key binary"), "segments")
 
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,7 +256,14 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         least = np.full(len(index_of), ids.max())
         np.minimum.at(least, number, ids)
         held = [np.frombuffer(w, np.uint64) for w in index_of]
-        found = FMIndex(held, least, window).covered(least)
+        # A minimiser with one distinct segment has nothing else to match.
+        of_segment = np.empty(len(held), np.int64)
+        of_segment[number] = pdf["m"].to_numpy()
+        _, which, spread = np.unique(of_segment, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(spread[which] > 1)
+        found = dict.fromkeys(range(len(held)), np.zeros(0, np.int64))
+        if len(mixed):
+            found.update(zip(mixed.tolist(), FMIndex([held[i] for i in mixed], least[mixed], window).covered(least[mixed])))
         own = pdf["first"].to_numpy().astype(np.int64)
         out = {"doc_id": [], "th": [], "from": [], "to": []}
         for i, (doc, th) in enumerate(zip(ids, pdf["th"])):
@@ -277,7 +278,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     spans = f"doc_id {kind}, th long, `from` int, `to` int"
     cool = parts.filter(F.col("key").isNull())
-    cool = cool.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(4 * bins(spark))).cast("int")).select("shard", "doc_id", "th", "first", "words")
+    cool = cool.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(4 * bins(spark))).cast("int")).select("shard", "m", "doc_id", "th", "first", "words")
     by_index = cool.groupBy("shard").applyInPandas(search, spans)
     hot = parts.filter(F.col("key").isNotNull()).select("doc_id", "th", "first", "key")
     least = hot.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter(F.col("a") < F.col("z")).select("key", "a")
@@ -305,5 +306,5 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    joined = keyed.join(gone.hint("shuffle_hash"), same_row(keyed, gone), "left").select(keyed["doc_id"], "text", "gone")
+    joined = join_rows(keyed, gone, hash_right=True).select("doc_id", "text", "gone")
     return joined.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept string")
