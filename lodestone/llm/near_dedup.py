@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, binary_column, cut, mix64, salted_join, same_row, shingle_hashes, small_batches, text_key, texts, words_of
+from ._shared import WordHashes, binary_column, cut, join_rows, mix64, salted_join, shingle_hashes, small_batches, text_key, texts, words_of
 
 FEATURES = 1 << 18
 
@@ -56,30 +56,45 @@ def weighted_shingles(words: list[bytes], hashes: WordHashes, idf: np.ndarray, s
 
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Four independent uniforms in (0, 1) from the 16-bit parts of hashes."""
-    parts = np.ascontiguousarray(x).view(np.uint16).reshape(len(x), 4).T
-    return (parts.astype(np.float32) + 0.5) * np.float32(1 / 65536)
+    parts = x.view(np.uint16).reshape(len(x), 4).T
+    return (parts.astype(np.float32) + np.float32(0.5)) * np.float32(1 / 65536)
 
 
-def sample(shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """``n`` improved consistent weighted samples (Ioffe 2010): for each, hash of
-    the shingle and level t that minimise ln a = ln c - r (t + 1 - beta), with
-    r and c of Gamma(2, 1), beta uniform and t = floor(ln w / r + beta)."""
+def sample(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """``n`` improved consistent weighted samples (Ioffe 2010) of each text, the
+    texts lying one after the other from ``starts``: the shingle and level t that
+    minimise ln a = ln c - r (t + 1 - beta), with r and c of Gamma(2, 1), beta
+    uniform and t = floor(ln w / r + beta).  Returns texts x samples of hashes."""
     log_w = np.log(weights)
-    out = np.empty(n, np.uint64)
+    place = np.arange(len(shingles), dtype=np.uint64)
+    out = np.empty((len(starts), n), np.uint64)
     for k in range(n):
         first = mix64(shingles + np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 % 2**64))
-        u = np.log(_uniform(first))
-        r, c = -(u[0] + u[1]), -(u[2] + u[3])
+        u = _uniform(first)
+        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
         beta = ((first * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
         t = np.floor(log_w / r + beta)
-        best = int(np.argmin(np.log(c) - r * (t + 1 - beta)))
-        out[k] = (int(shingles[best]) + int(t[best]) * 0x9E3779B97F4A7C15) % 2**64
+        bits = (np.log(c) - r * (t + 1 - beta)).astype(np.float32).view(np.uint32)
+        # Floats as integers of the same order, with the place below.
+        rising = bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
+        best = np.minimum.reduceat((rising.astype(np.uint64) << np.uint64(32)) | place, starts) & np.uint64(0xFFFFFFFF)
+        best = best.astype(np.int64)
+        out[:, k] = shingles[best] + t[best].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix64(out)
 
 
 def signatures(rows: DataFrame, idf: np.ndarray, size: int, bands: int, per_band: int) -> DataFrame:
     """doc_id, th, digest of the words (null without words), keys (one per band)."""
-    hashes_for = np.uint64(0x9E3779B97F4A7C15)
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def keys_of(found: list) -> list:
+        starts = np.r_[0, np.cumsum([len(s) for s, _ in found])[:-1]].astype(np.int64)
+        picks = sample(np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), starts, bands * per_band)
+        picks = picks.reshape(len(found), bands, per_band)
+        key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(found), 1))
+        for j in range(per_band):
+            key = mix64(key * step + picks[:, :, j])
+        return key.view(np.int64).tolist()
 
     def sign(batches):
         import pyarrow as pa
@@ -87,20 +102,19 @@ def signatures(rows: DataFrame, idf: np.ndarray, size: int, bands: int, per_band
 
         hashes = WordHashes()
         for batch in batches:
-            digests, keys = [], []
-            for text in binary_column(batch, "text"):
+            digests, keys, waiting, found, size_now = [], [], [], [], 0
+            for i, text in enumerate(binary_column(batch, "text")):
                 words = words_of(text)
-                if not words:
-                    digests.append(None)
-                    keys.append([])
-                    continue
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                shingles, weights = weighted_shingles(words, hashes, idf, size)
-                picks = sample(shingles, weights, bands * per_band).reshape(bands, per_band)
-                key = np.arange(1, bands + 1, dtype=np.uint64)
-                for j in range(per_band):
-                    key = mix64(key * hashes_for + picks[:, j])
-                keys.append(key.view(np.int64).tolist())
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+                keys.append([])
+                if words:
+                    found.append(weighted_shingles(words, hashes, idf, size))
+                    waiting.append(i)
+                    size_now += len(found[-1][0])
+                if found and (size_now > 16_384 or i == batch.num_rows - 1):
+                    for at, own in zip(waiting, keys_of(found)):
+                        keys[at] = own
+                    waiting, found, size_now = [], [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "th", "digest", "keys"],
@@ -225,8 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_row = salted_join(worded.select("doc_id", "th", "digest"), of_text, "digest", ["doc_id"])
     sizes = of_row.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
     keyed = rows.select("doc_id", text_key())
-    flat = of_row.select("doc_id", "th", "cls").distinct()
-    joined = keyed.join(flat, same_row(keyed, flat), "left").select(keyed["doc_id"], keyed["th"], "cls")
+    joined = join_rows(keyed, of_row.select("doc_id", "th", "cls").distinct())
     joined = salted_join(joined, sizes, "cls", ["doc_id"], how="left")
     return joined.select(
         "doc_id", "th", F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"),
@@ -256,8 +269,8 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
 
     kind = members.schema["node"].dataType.simpleString()
     placed = members.join(distinct.select(F.col("rep").alias("node"), "th"), "node").withColumnRenamed("th", "h")
-    keyed = rows.withColumn("th", F.xxhash64("text"))
-    with_text = keyed.join(placed.hint("shuffle_hash"), (keyed["doc_id"] == placed["node"]) & (keyed["th"] == placed["h"])).select("node", "comp", "text")
+    once = placed.select(F.col("node").alias("doc_id"), F.col("h").alias("th"), "node", "comp")
+    with_text = join_rows(rows.withColumn("th", F.xxhash64("text")), once, "inner", hash_right=True).select("node", "comp", "text")
     sets = cut(with_text.mapInArrow(expand, f"node {kind}, comp {kind}, s binary, w binary"), "near-sets")
     live, mapping = sets, None
     while True:
