@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import binary_column, cut, lower_ascii, salted_join, same_row, small_batches, text_key, texts, words_of
+from ._shared import binary_column, cut, join_rows, lower_ascii, salted_join, small_batches, text_key, words_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,13 +35,13 @@ def item_windows(bench: DataFrame, item_col: str, text_col: str, size: int) -> D
     )
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, broadcast_windows: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, broadcast_windows: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Benchmark items found in each document.
 
     Returns one row per input row: doc_id, n_words, n_hit (words inside any
     occurrence of a window), n_items (items with an occurring window), items
     (their ids as sorted strings, comma-joined), items_sha256, contaminated
-    (n_items >= ``min_items``).  Null or wordless texts have no words; items
+    (n_items >= ``min_items``), and the input's columns ``keep``.  Null or wordless texts have no words; items
     without words or with a null id never match; repeated items count once.
 
     Benchmarks of up to ``broadcast_windows`` windows (counted first) travel to
@@ -50,11 +50,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = texts(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
     windows = cut(item_windows(bench, item_col, item_text_col, window), "windows")
     if windows.count() <= broadcast_windows:
-        return _by_broadcast(rows, windows, min_items)
-    return _by_shuffle(rows, windows, min_items)
+        found = _by_broadcast(rows, windows, min_items)
+    else:
+        found = _by_shuffle(rows, windows, min_items)
+    return found if text_col in keep else found.drop("text")
 
 
 def _by_broadcast(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFrame:
@@ -99,7 +101,7 @@ def _by_broadcast(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFr
                 joined.append(sorted(items))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(batch.schema.get_field_index("doc_id")),
+                    *batch.columns,
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in joined], pa.int64()),
@@ -107,17 +109,17 @@ def _by_broadcast(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFr
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in joined], pa.string()),
                     pa.array([len(x) >= min_items for x in joined], pa.bool_()),
                 ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
+                [*batch.schema.names, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(match, f"doc_id {kind}, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(match, f"{fields}, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean")
 
 
 def _by_shuffle(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFrame:
     numbered = windows.withColumn("win_id", F.md5(F.array_join("win", " ")))
     split = rows.select(
-        "doc_id", text_key(),
+        *rows.columns, text_key(),
         F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"),
     )
     spots = split.select("doc_id", "th", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
@@ -134,8 +136,7 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFram
         .filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
         .select("doc_id", "th", "start", "win_id")
     )
-    sliced = candidates.join(split.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "words"),
-                             F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    sliced = join_rows(candidates, split.select("doc_id", "th", "words").dropDuplicates(["doc_id", "th"]), "inner")
     with_len = sliced.join(numbered, "win_id")
     hits = (
         with_len.filter(F.slice("words", F.col("start") + 1, F.size("win")) == F.col("win"))
@@ -144,11 +145,11 @@ def _by_shuffle(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFram
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
         )
     )
-    joined = split.join(hits, same_row(split, hits), "left").select(split["doc_id"], F.size("words").alias("n"), "n_hit", "found")
+    joined = join_rows(split, hits).withColumn("n", F.size("words"))
     items = F.coalesce(F.array_join("found", ","), F.lit(""))
     n_items = F.coalesce(F.size("found"), F.lit(0))
     return joined.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        *rows.columns, F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         n_items.cast("long").alias("n_items"), items.alias("items"), F.sha2(items, 256).alias("items_sha256"),
         (n_items >= min_items).alias("contaminated"),
     )

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, lower_ascii, same_row, texts
+from ._shared import cut, join_rows, lower_ascii, texts
 
 # Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -124,7 +124,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = base_phrases(rows)
     found = template_blocks(rows, templates, threshold).groupBy("doc_id", "th").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    joined = base.join(found, same_row(base, found), "left").select(base["*"], "more", "best")
+    joined = join_rows(base, found)
     text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
