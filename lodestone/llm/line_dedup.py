@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, salted_join, same_row, text_key, texts
+from ._shared import cut, join_rows, lower_ascii, salted_join, text_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -16,24 +16,27 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANKS)))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the lines that ``min_docs`` or more documents share.
 
-    Returns one row per input row: doc_id, n_lines, n_dropped, kept (text).
+    Returns one row per input row: doc_id, n_lines, n_dropped, kept (text), and
+    the input's columns ``keep``.
     A null or empty text is one empty line; lines whose key is shorter than
     ``min_chars`` always stay.  A document counts once for each key; rows that
     repeat an id count as one document, and so do all rows with a null id.
     Extra columns are ignored; an empty table gives an empty result.
 
-    Two shuffles carry (key, id) pairs of 16-byte hashes only, the hot ones
-    partly counted before; texts move once, split into lines.
+    Lines are hashed once and written as (id, place, 16-byte hash); counts and
+    the search for hits read those only, hot ones partly counted before the
+    shuffle.  Texts move once, split into lines.
     """
-    rows = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    lines = (
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
+    lines = cut(
         rows.select("doc_id", text_key(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         .select("doc_id", "th", "pos", line_key(F.col("line")).alias("norm"))
         .filter(F.length("norm") >= min_chars)
-        .select("doc_id", "th", "pos", F.unhex(F.md5("norm")).alias("key"))
+        .select("doc_id", "th", "pos", F.unhex(F.md5("norm")).alias("key")),
+        "line-keys",
     )
     repeated = (
         lines.select("key", "doc_id").distinct()
@@ -44,8 +47,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         salted_join(lines, repeated, "key", ["doc_id", "pos"])
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("bad"))
     )
-    split = rows.select("doc_id", text_key(), F.split("text", "\n").alias("lines"))
-    joined = split.join(hits.hint("shuffle_hash"), same_row(split, hits), "left").select(split["doc_id"], "lines", "bad")
+    split = rows.select("doc_id", text_key(), F.split("text", "\n").alias("lines"), *[f"keep_{c}" for c in keep])
+    joined = join_rows(split, hits, hash_right=True)
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("bad"))
     kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get(F.col("lines"), i)))
     return joined.select(
@@ -53,4 +56,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("bad"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept"),
+        *[F.col(f"keep_{c}").alias(c) for c in keep],
     )
