@@ -46,7 +46,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             code = (code ^ joined[j : len(joined) - n + 1 + j]) * np.uint32(0x01000193)
         code = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
         whole = at[: len(code)] + n <= ends[: len(code)]
-        ids.append((code[whole] >> np.uint32(15)).astype(np.int64))
+        ids.append((code[whole] >> np.uint32(15)).astype(np.int32))
         owners.append(word[: len(code)][whole])
     ids, owners = np.concatenate(ids), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
@@ -114,7 +114,7 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
         share = float(np.clip(toxic.mean() if len(toxic) else 0.0, 0.01, 0.99))
         return Softmax(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     number = {w: i for i, w in enumerate(vocabulary)}
-    ids, sub_counts = subwords(vocabulary)
+    ids, sub_counts = (np.concatenate(x) for x in zip(*(subwords(vocabulary[i : i + 20_000]) for i in range(0, len(vocabulary), 20_000))))
     sub_start = np.cumsum(sub_counts) - sub_counts
     rng = np.random.default_rng(seed)
     table, head = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2))
@@ -129,7 +129,11 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
     run_start = np.cumsum(runs) - runs
     label = toxic[owner]
     # Subwords of a few texts only would be learnt by heart: they stay at zero.
-    words_in = np.bincount(np.concatenate([np.unique(np.concatenate([ids[sub_start[w] : sub_start[w] + sub_counts[w]] for w in {number[x] for x in words[i]}])) for i in taught]), minlength=BUCKETS)
+    words_in = np.zeros(BUCKETS, np.int64)
+    for i in taught:
+        own = np.fromiter({number[w] for w in words[i]}, np.int64)
+        n = sub_counts[own]
+        words_in[np.unique(ids[np.repeat(sub_start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
     table[words_in < max(min_texts, min_share * len(taught))] = 0
     known = (words_in >= max(min_texts, min_share * len(taught)))[:, None]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, head, offset)]
@@ -137,8 +141,11 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
     for epoch in range(epochs):
         pools = [np.flatnonzero(label == y) for y in (0, 1)]
         if epoch >= epochs // 3:
-            vectors = sums_by(table[ids], sub_counts) / sub_counts[:, None]
-            margin = sums_by((vectors @ (head[:, 1] - head[:, 0]))[flat], runs) / np.maximum(runs, LEAST)
+            of_bucket = table @ (head[:, 1] - head[:, 0])
+            of_word = np.concatenate([  # in pieces, to hold little at once
+                sums_by(of_bucket[ids[sub_start[a] : sub_start[a] + sub_counts[a : a + 20_000].sum()]], sub_counts[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)
+            ]) / sub_counts
+            margin = sums_by(of_word[flat], runs) / np.maximum(runs, LEAST)
             order = np.lexsort((-margin, owner))
             top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
             pools = [np.r_[top[label[top] == 0], rng.choice(pools[0], min(len(pools[0]), len(top)))], top[label[top] == 1]]
@@ -193,7 +200,7 @@ def _calibrated(model: Softmax, words: list[list[bytes]], toxic: np.ndarray, pri
     return Softmax(model.margin, model.bias, slope, float(np.log(cutoff / (1 - cutoff)) - slope * cut))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 3000, max_train_chars: int = 100_000) -> Softmax:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train_docs: int = 2400, max_train_chars: int = 50_000) -> Softmax:
     """Learn from labelled rows that are not held out.
 
     At most about ``max_train_docs`` texts train, half of them toxic if there
@@ -208,8 +215,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("y") == 1, F.lit(int(1e6 * each / max(1, counts.get(1, 0))) + 1)).otherwise(F.lit(int(1e6 * each / max(1, counts.get(0, 0))) + 1))
     drawn = known.filter(draw < share)
     rows = texts(docs, id_col, text_col).filter(F.col("text").isNotNull() & (F.length("text") <= max_train_chars))
-    sample = rows.join(drawn, "doc_id").select("doc_id", "text", "y").limit(2 * max_train_docs).toPandas().sort_values(["doc_id", "text"])
-    return train([bag_of(t.encode()) for t in sample["text"]], sample["y"].to_numpy(np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
+    # Few fields as bytes, in a fixed order: the sample is all that the driver holds.
+    sample = rows.join(drawn, "doc_id").select("doc_id", F.encode("text", "utf-8").alias("text"), "y").limit(2 * max_train_docs)
+    found = sorted((str(r[0]), bytes(r[1]), r[2]) for r in sample.toLocalIterator())
+    labels_of = np.array([y for *_, y in found], np.int64)
+    one: dict[bytes, bytes] = {}
+    bags = [[one.setdefault(w, w) for w in bag_of(text)] for _, text, _ in found]
+    del found
+    return train(bags, labels_of, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_toxicity(docs: DataFrame, model: Softmax, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
