@@ -54,7 +54,7 @@ def _boosted(spark, d):
     joined = fused.join(docs.select(F.col("doc_id").alias("unit"), "lang", "source", "text"), "unit").join(labels.withColumnRenamed("doc_id", "unit"), "unit", "left")
     kind = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.92).otherwise(0.9)
     fit = 1 + 0.1 * F.coalesce("quality", F.lit(0))
-    return joined.withColumn("boosted", F.round(F.col("score") * kind * fit * T.recency(T.latest_year(F.col("text")), 2026), 9))
+    return joined.withColumn("boosted", F.round(F.col("score") * kind * fit * T.recency(T.latest_year(F.col("text")), 2026), 14))
 
 
 def rescore_boosts(spark, d):
@@ -119,7 +119,7 @@ _BOOSTED = rf"""{_FUSED},
 qual AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 years AS (SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '{T.YEAR}'), lambda y: CAST(y AS INTEGER))) AS y FROM documents),
 boosted AS (SELECT unit, source, lang, score, round(score * CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.92 ELSE 0.9 END::DOUBLE * (1 + 0.1::DOUBLE * coalesce(quality, 0))
-  * CASE WHEN y IS NULL OR 2026 - y < -1 THEN 0.9 WHEN 2026 - y <= 0 THEN 1.0 ELSE greatest(0.55, pow(0.5, (2026 - y) / 5.0)) END::DOUBLE, 9) AS boosted
+  * CASE WHEN y IS NULL OR 2026 - y < -1 THEN 0.9 WHEN 2026 - y <= 0 THEN 1.0 ELSE greatest(0.55, pow(0.5, (2026 - y) / 5.0)) END::DOUBLE, 14) AS boosted
   FROM fused JOIN documents d ON d.doc_id = unit JOIN years USING (doc_id) LEFT JOIN qual USING (doc_id))"""
 
 ORACLES = {
