@@ -213,10 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     each = max_train_docs // 2
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000))
     share = F.when(F.col("y") == 1, F.lit(int(1e6 * each / max(1, counts.get(1, 0))) + 1)).otherwise(F.lit(int(1e6 * each / max(1, counts.get(0, 0))) + 1))
-    drawn = known.filter(draw < share)
+    drawn = known.filter(draw < share).limit(2 * max_train_docs)  # so small that it is broadcast
     rows = texts(docs, id_col, text_col).filter(F.col("text").isNotNull() & (F.length("text") <= max_train_chars))
     # Few fields as bytes, in a fixed order: the sample is all that the driver holds.
-    sample = rows.join(drawn, "doc_id").select("doc_id", F.encode("text", "utf-8").alias("text"), "y").limit(2 * max_train_docs)
+    sample = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", F.encode("text", "utf-8").alias("text"), "y").limit(2 * max_train_docs)
     found = sorted((str(r[0]), bytes(r[1]), r[2]) for r in sample.toLocalIterator())
     labels_of = np.array([y for *_, y in found], np.int64)
     one: dict[bytes, bytes] = {}
