@@ -145,7 +145,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                 ["vec_id", "list", "codes", "v"],
             )
 
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(key, left, right):
         found = []
         if len(left) and len(right):
             left = left.sort_values(["list", "vec_id"])

@@ -146,28 +146,48 @@ def components(edges: DataFrame, name: str, most_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("comp"))
 
 
+class Postings:
+    """Shingles of a group of texts with the texts that hold them: one text's
+    similarity to all others at once."""
+
+    def __init__(self, sets: list[np.ndarray], weights: list[np.ndarray]):
+        self.n, self.weights = len(sets), weights
+        lengths = np.array([len(s) for s in sets])
+        self.totals = np.array([w.sum(dtype=np.float64) for w in weights])
+        flat, w = np.concatenate(sets), np.concatenate(weights).astype(np.float64)
+        order = np.argsort(flat, kind="stable")
+        self.owner, self.w = np.repeat(np.arange(self.n), lengths)[order], w[order]
+        self.starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+        self.shared = np.r_[self.starts[1:], len(flat)] - self.starts
+        self.place = np.empty(len(flat), np.int64)
+        self.place[order] = np.repeat(np.arange(len(self.starts)), self.shared)
+        self.bounds = np.r_[0, np.cumsum(lengths)]
+
+    def held(self, i: int) -> np.ndarray:
+        return self.place[self.bounds[i] : self.bounds[i + 1]]
+
+    def similar(self, i: int, threshold: float) -> np.ndarray:
+        """Texts of weighted Jaccard similarity >= threshold with text ``i``."""
+        own = self.held(i)
+        keep = self.shared[own] > 1
+        own, mine = own[keep], self.weights[i][keep].astype(np.float64)
+        if not len(own):
+            return own
+        spans = self.shared[own]
+        at = np.repeat(self.starts[own] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+        both = np.bincount(self.owner[at], np.minimum(self.w[at], np.repeat(mine, spans)), minlength=self.n)
+        return np.flatnonzero(both >= threshold * (self.totals[i] + self.totals - both) - 1e-9)
+
+
 def link_group(ids: list, sets: list[np.ndarray], weights: list[np.ndarray], threshold: float) -> list[tuple]:
     """Classes of one candidate group under weighted Jaccard >= threshold:
     (id, class id) with the smallest id of the class.
 
-    Postings of the group's shingles give one text's similarity to all others at
-    once.  Central texts are compared first; then every text outside the largest
-    class is compared with all, so that no link between classes is missed: such
-    a link has at least one end outside the largest class.
+    Central texts are compared first; then every text outside the largest class
+    is compared with all, so that no link between classes is missed: such a link
+    has at least one end outside the largest class.
     """
-    n = len(ids)
-    lengths = np.array([len(s) for s in sets])
-    totals = np.array([w.sum(dtype=np.float64) for w in weights])
-    owner = np.repeat(np.arange(n), lengths)
-    flat, w = np.concatenate(sets), np.concatenate(weights).astype(np.float64)
-    order = np.argsort(flat, kind="stable")
-    owner, w = owner[order], w[order]
-    starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    ends = np.r_[starts[1:], len(flat)]
-    position = np.empty(len(flat), np.int64)
-    position[order] = np.repeat(np.arange(len(starts)), ends - starts)
-    bounds = np.r_[0, np.cumsum(lengths)]
-    shared = ends - starts
+    n, postings = len(ids), Postings(sets, weights)
     root = np.arange(n)
 
     def find(i):
@@ -177,30 +197,20 @@ def link_group(ids: list, sets: list[np.ndarray], weights: list[np.ndarray], thr
         return i
 
     def compare(i):
-        own = position[bounds[i] : bounds[i + 1]]
-        keep = shared[own] > 1
-        own, mine = own[keep], weights[i][keep].astype(np.float64)
-        if not len(own):
-            return
-        spans = shared[own]
-        at = np.repeat(starts[own] - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
-        both = np.bincount(owner[at], np.minimum(w[at], np.repeat(mine, spans)), minlength=n)
-        for j in np.flatnonzero(both >= threshold * (totals[i] + totals - both) - 1e-9):
+        for j in postings.similar(i, threshold):
             a, b = find(i), find(int(j))
             if a != b:
                 root[max(a, b)] = min(a, b)
 
-    done = np.zeros(n, bool)
+    rest = range(n)
     if n > 64:
-        central = np.array([shared[position[bounds[i] : bounds[i + 1]]].mean() if lengths[i] else 0 for i in range(n)])
+        central = np.array([postings.shared[postings.held(i)].mean() for i in range(n)])
+        done = np.zeros(n, bool)
         for i in np.argsort(-central, kind="stable")[: max(16, n // 200)]:
             compare(int(i))
             done[i] = True
         roots = np.array([find(i) for i in range(n)])
-        largest = np.bincount(roots, minlength=n).argmax()
-        rest = np.flatnonzero((roots != largest) & ~done)
-    else:
-        rest = range(n)
+        rest = np.flatnonzero((roots != np.bincount(roots, minlength=n).argmax()) & ~done)
     for i in rest:
         compare(int(i))
     return [(ids[i], ids[find(i)]) for i in range(n)]
@@ -217,9 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The keys of a band group distinct texts; a text is linked to the smallest
     of its group only, so a group of n gives n - 1 links.  Candidate components
-    then meet with their shingles: up to ``most_texts`` texts in one task,
-    larger ones in hashed blocks of that size whose class representatives meet
-    again, round by round, until one block is left.
+    then meet with their shingles: up to ``most_texts`` texts in one task.
+    Larger ones go by hashed blocks of that size.  The blocks' class
+    representatives meet again, round by round; then every text outside a
+    component's largest class visits all its blocks, which finds what is left:
+    a link between two classes has an end outside the largest one.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -261,7 +273,7 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
                 ["node", "comp", "s", "w"],
             )
 
-    def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def link(key, pdf):
         pdf = pdf.drop_duplicates("node").sort_values("node")
         sets, weights = [np.frombuffer(s, np.uint64) for s in pdf["s"]], [np.frombuffer(w, np.float32) for w in pdf["w"]]
         found = link_group(pdf["node"].tolist(), sets, weights, threshold)
@@ -272,18 +284,49 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
     once = placed.select(F.col("node").alias("doc_id"), F.col("h").alias("th"), "node", "comp")
     with_text = join_rows(rows.withColumn("th", F.xxhash64("text")), once, "inner", hash_right=True).select("node", "comp", "text")
     sets = cut(with_text.mapInArrow(expand, f"node {kind}, comp {kind}, s binary, w binary"), "near-sets")
-    live, mapping = sets, None
+    live, mapping, first_sizes = sets, None, None
     while True:
-        sizes = live.groupBy("comp").agg(F.ceil(F.countDistinct("node") / F.lit(most)).cast("int").alias("blocks"))
+        sizes = cut(live.groupBy("comp").agg(F.ceil(F.countDistinct("node") / F.lit(most)).cast("int").alias("blocks")), "near-sizes")
+        first_sizes = sizes if first_sizes is None else first_sizes
         blocked = live.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         found = cut(blocked.groupBy("comp", "block").applyInPandas(link, f"node {kind}, comp {kind}, cls {kind}"), "near-classes")
-        mapping = found.select("node", "cls") if mapping is None else cut(
-            mapping.join(found.select(F.col("node").alias("cls"), F.col("cls").alias("up")), "cls", "left").select("node", F.coalesce("up", "cls").alias("cls")), "near-map")
-        split = cut(sizes.filter(F.col("blocks") > 1).select("comp"), "near-split")
+        mapping = found if mapping is None else cut(
+            mapping.join(found.select(F.col("node").alias("cls"), F.col("cls").alias("up")), "cls", "left").select("node", "comp", F.coalesce("up", "cls").alias("cls")), "near-map")
+        split = sizes.filter(F.col("blocks") > 1).select("comp")
         if split.isEmpty():
-            return mapping
+            break
         heads = found.filter(F.col("node") == F.col("cls")).join(split, "comp", "left_semi").select("node")
         before = live.count()
         live = cut(live.join(heads, "node", "left_semi"), "near-heads")
         if live.count() >= before:  # no class left to merge within blocks
-            return mapping
+            break
+    large = first_sizes.filter(F.col("blocks") > 1)
+    if large.isEmpty():
+        return mapping.select("node", "cls")
+    return _across_blocks(sets, mapping, large, threshold, most)
+
+
+def _across_blocks(sets: DataFrame, mapping: DataFrame, large: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Merge classes of large components by the links between their blocks."""
+    kind = mapping.schema["node"].dataType.simpleString()
+    counts = mapping.join(large, "comp").groupBy("comp", "blocks", "cls").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("comp", "blocks").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("total"), F.max("n").alias("held"))
+    largest = largest.withColumn("askers", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("held")) / F.lit(most))).cast("int"))
+    placed = sets.dropDuplicates(["node"]).join(mapping.select("node", "cls"), "node").join(largest, "comp")
+    own = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("asks", F.lit(False))
+    asking = placed.filter(F.col("cls") != F.col("top")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = asking.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers")).cast("int")).withColumn("asks", F.lit(True))
+    columns = ["comp", "block", "turn", "asks", "node", "cls", "s", "w"]
+
+    def ask(key, pdf):
+        classes, edges = pdf["cls"].tolist(), set()
+        askers = np.flatnonzero(pdf["asks"].to_numpy())
+        if len(askers):
+            postings = Postings([np.frombuffer(s, np.uint64) for s in pdf["s"]], [np.frombuffer(w, np.float32) for w in pdf["w"]])
+            for i in askers:
+                edges.update((min(classes[i], classes[j]), max(classes[i], classes[j])) for j in postings.similar(int(i), threshold) if classes[j] != classes[i])
+        return pd.DataFrame(sorted(edges), columns=["a", "b"])
+
+    edges = own.select(*columns).unionByName(asking.select(*columns)).groupBy("comp", "block", "turn").applyInPandas(ask, f"a {kind}, b {kind}")
+    merged = components(edges, "near-across").select(F.col("node").alias("cls"), F.col("comp").alias("up"))
+    return mapping.join(merged, "cls", "left").select("node", F.coalesce("up", "cls").alias("cls"))

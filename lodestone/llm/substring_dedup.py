@@ -249,7 +249,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     with_text = join_rows(keyed, suspects, "inner", hash_right=True).select("doc_id", "th", "text", "runs")
     parts = cut(with_text.mapInArrow(segments, f"doc_id {kind}, th long, m long, first int, words binary, key binary"), "segments")
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key, pdf):
         index_of: dict[bytes, int] = {}
         number = np.array([index_of.setdefault(w, len(index_of)) for w in pdf["words"]])
         ids = pdf["doc_id"].to_numpy()
