@@ -186,3 +186,36 @@ def test_stream_sessions(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     batch = spark.table("sessions_out").agg(F.sum("n")).first()[0]
     assert batch and batch <= 1000
+
+
+def test_schedule_state_machine(spark):
+    from lodestone.operators import records
+
+    page = "Course list\nCSCI 101: Intro to Things\n-------------\n(4 units)\nFirst look.\nMore text.\n30001 Lecture MW 9-10\n30002R Lab F 1-2\nMATH-225: Linear\n2.5-4 units\n"
+    got = records.parse_schedules(spark.createDataFrame([(1, page), (2, None)], "page long, text string"), "page", "text").collect()
+    assert [(r["code"], r["title"], r["units"], r["description"]) for r in got] == [("CSCI 101", "Intro to Things", "4", "First look. More text."), ("MATH 225", "Linear", "2.5-4", "")]
+    assert [s["id"] for s in got[0]["sections"]] == ["30001", "30002R"]
+
+
+def test_name_matching_prefers_full_then_lone_last(spark):
+    from lodestone.operators import records
+
+    people = spark.createDataFrame([(1, "Ana María López"), (2, "Bob Stone"), (3, "Zed Nobody")], "person long, name string")
+    pages = spark.createDataFrame([("u/long", "Ana Lopez", 1), ("u/1", "Ana M. Lopez", 0), ("u/2", "Robert Stone", 0)], "url string, title string, rank int")
+    got = {r["person"]: (r["url"], r["how"]) for r in records.match_names(people, pages).collect()}
+    assert got == {1: ("u/1", "full"), 2: ("u/2", "last")}
+
+
+def test_wrapped_json_bodies(spark):
+    from lodestone.operators import records
+
+    body = '<html><pre>{"dept": "A", "number": "1", "title": "t", "sections": [{"id": "x", "units": [4.0, 2.5], "days": ["Mon"], "instructors": []}]}</pre>'
+    rows = spark.createDataFrame([(body,), ("<p>down</p>",)], "body string")
+    got = records.parse_course_json(rows, "body").collect()
+    assert len(got) == 1 and got[0]["sections"][0]["units"] == "2.5-4" and got[0]["sections"][0]["schedule"] == "Mon"
+
+
+def test_phones_and_long_digit_runs(spark):
+    from lodestone.operators import records
+
+    assert one(spark, records.redact_phones(F.col("t")), t="call (213) 555-0100 or 213.555.0101, id 12135550102345") == "call [phone] or [phone], id 12135550102345"
