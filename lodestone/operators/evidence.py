@@ -14,18 +14,36 @@ def verify_status(quote: Column, page: Column) -> Column:
     q, p = T.containment_form(quote), T.containment_form(page)
     qw, pw = T.alnum_form(quote), T.alnum_form(page)
     grams = T.shingles(F.split(qw, " "), 5)
-    near = (F.size(F.split(qw, " ")) >= 6) & (F.size(F.filter(grams, lambda g: pw.contains(g))) * 100 >= F.size(grams) * 85)
+    return status_of(q, p, qw, pw, grams)
+
+
+def status_of(q: Column, p: Column, qw: Column, pw: Column, grams: Column) -> Column:
+    """``verify_status`` on forms that are columns already: the page's words are
+    then folded once for each page, not once for each run of the quote."""
+    near = (F.size(F.split(qw, " ")) >= 6) & (F.size(F.filter(grams, lambda g: F.contains(pw, g))) * 100 >= F.size(grams) * 85)
     return (
         F.when(F.length(q) < 12, "too_short").when(p.contains(q), "exact")
         .when((qw != "") & pw.contains(qw), "exact_words").when(near, "near").otherwise("failed")
     )
 
 
+def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(quote_id, page_id, status) for every pair that shares a five-word run.
+    Only pages of some pair are folded, before they meet their quotes."""
+    pairs = candidate_pages(quotes, pages)
+    p = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select(
+        "page_id", T.containment_form(F.col("text")).alias("p"), T.alnum_form(F.col("text")).alias("pw"))
+    words = T.alnum_form(F.col("quote"))
+    q = quotes.select("quote_id", T.containment_form(F.col("quote")).alias("q"), words.alias("qw"), T.shingles(F.split(words, " "), 5).alias("grams"))
+    joined = pairs.join(p, "page_id").join(q, "quote_id")
+    return joined.select("quote_id", "page_id", status_of(*[F.col(c) for c in ("q", "p", "qw", "pw", "grams")]).alias("status"))
+
+
 def candidate_pages(quotes: DataFrame, pages: DataFrame, size: int = 5) -> DataFrame:
     """(quote_id, page_id) pairs that share a run of ``size`` words: an equi-join
     of shingles in place of a containment join of all pairs."""
     q = quotes.select("quote_id", F.explode(F.array_distinct(T.shingles(T.words("quote"), size))).alias("gram"))
-    p = pages.select("page_id", F.explode(F.array_distinct(T.shingles(T.words("text"), size))).alias("gram"))
+    p = pages.select("page_id", F.explode(T.shingles(T.words("text"), size)).alias("gram"))
     return p.join(q, "gram").select("quote_id", "page_id").distinct()
 
 

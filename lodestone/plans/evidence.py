@@ -37,15 +37,13 @@ def marker_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", flag.alias("gated"))
 
 
-def _bound(spark, d):
+def _quotes_and_pages(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    pairs = E.candidate_pages(quotes, pages)
-    return pairs.join(pages, "page_id").join(quotes, "quote_id")
+    return quotes, table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
 
 
 def quote_verify(spark, d):
-    return _bound(spark, d).select("quote_id", "page_id", E.verify_status(F.col("quote"), F.col("text")).alias("status"))
+    return E.verify_quotes(*_quotes_and_pages(spark, d))
 
 
 def quote_verify_counts(spark, d):
@@ -96,9 +94,11 @@ def freshness_rate(spark, d):
 
 def shingle_overlap(spark, d):
     """Share of quotes matched by each page they might come from."""
-    b = _bound(spark, d)
-    a, p = T.shingles(T.words("quote")), T.shingles(T.words("text"))
-    return b.select("quote_id", "page_id", F.round(T.overlap(a, p), 6).alias("overlap"))
+    quotes, pages = _quotes_and_pages(spark, d)
+    pairs = E.candidate_pages(quotes, pages)
+    p = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select("page_id", T.shingles(T.words("text")).alias("b"))
+    q = quotes.select("quote_id", T.shingles(T.words("quote")).alias("a"))
+    return pairs.join(p, "page_id").join(q, "quote_id").select("quote_id", "page_id", F.round(T.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
 def email_redaction(spark, d):
