@@ -219,3 +219,30 @@ def test_phones_and_long_digit_runs(spark):
     from lodestone.operators import records
 
     assert one(spark, records.redact_phones(F.col("t")), t="call (213) 555-0100 or 213.555.0101, id 12135550102345") == "call [phone] or [phone], id 12135550102345"
+
+
+def test_joint_caps_leave_other_seats(spark):
+    from lodestone.operators import units
+
+    rows = [("A", 1, 9.0, "e1", "u1"), ("A", 2, 8.0, "e1", "u2"), ("A", 3, 7.0, "e2", "u2"), ("A", 4, 6.0, "e3", "u2")]
+    df = spark.createDataFrame(rows, "code string, unit long, score double, entity string, url string")
+    got = [r["unit"] for r in units.joint_caps(df, "code", "score", "unit", {"entity": 1, "url": 1}, 5).orderBy("seat").collect()]
+    assert got == [1, 3]
+
+
+def test_first_year(spark):
+    from lodestone.operators import units
+
+    for text, year in (("Fall 2025", 2025), ("x99992024", 2024), ("no year", None), ("12", None)):
+        got = spark.createDataFrame([(text,)], "t string").select(units.first_year(F.col("t"), 1990, 2030).alias("y")).first()["y"]
+        assert got == year, text
+
+
+def test_parquet_of_the_pipeline_of_units_is_partitioned(spark, sf_dir, tmp_path):
+    from lodestone.plans import units as plan
+
+    rows = plan._units(spark, sf_dir)
+    counts = sinks.publish_units(rows.filter(F.col("text") != ""), str(tmp_path / "u"))
+    assert {r["kind"] for r in counts.collect()} == {"fact", "chunk", "org", "course"}
+    read = spark.read.parquet(str(tmp_path / "u")).filter(F.col("kind") == "org")
+    assert "PartitionFilters: [isnotnull(kind" in read._jdf.queryExecution().executedPlan().toString()
