@@ -117,6 +117,11 @@ ORACLES = {
 SELECT p_size, md5(string_agg(t, '; ' ORDER BY p_brand)) AS text_md5 FROM g GROUP BY p_size""",
     "entity_resolution": """SELECT p_partkey, CASE WHEN k = 'Brand#1' AND regexp_matches(n, 'almond|azure') THEN 'warm' WHEN k = 'Brand#1' AND regexp_matches(n, 'a') THEN 'any'
   WHEN k = 'Brand#2' AND regexp_matches(n, '^p') THEN 'p-words' ELSE n END AS entity FROM (SELECT p_partkey, trim(lower(p_name)) AS n, substr(p_brand, 1, 7) AS k FROM part)""",
+    "name_matching": """WITH n AS (SELECT c_custkey, regexp_extract_all(lower(translate(c_name, '0123456789', 'abcdefghij')), '[a-z]+') AS t FROM customer),
+p AS (SELECT c_custkey AS person, t[1] AS f, t[-1] AS l FROM n), g AS (SELECT 'u/' || c_custkey AS url, t[1] AS f, t[-1] AS l FROM n WHERE c_custkey % 2 = 0),
+b AS (SELECT person, 'full' AS how FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.f = p.f AND g.l = p.l)
+  UNION ALL SELECT person, 'last' FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.f = p.f AND g.l = p.l) AND (SELECT count(*) FROM g WHERE g.l = p.l) = 1)
+SELECT how, count(*) AS n, CAST(sum(person) AS BIGINT) AS sum_person FROM b GROUP BY how""",
     "kind_quota": f"""WITH {_DENSE}, h AS (SELECT qid, unit, 'k' || (label % 3) AS kind, score FROM dense JOIN embeddings ON vec_id = unit),
 f AS (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY score DESC, unit) <= CASE kind WHEN 'k1' THEN 4 WHEN 'k2' THEN 6 ELSE 0 END AS held FROM h),
 c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY held DESC, score DESC, unit) <= 15)
