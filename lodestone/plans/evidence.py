@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import windows as W
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 MARKERS = ["ingly", "ation the", "heit", "amente"]
 RESCUE = ["the of", "und der"]
@@ -39,7 +39,7 @@ def marker_gate(spark, d):
 
 def _quotes_and_pages(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return quotes, table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return quotes, spread(table(spark, d, "documents")).select(F.col("doc_id").alias("page_id"), "text")
 
 
 def quote_verify(spark, d):
@@ -66,7 +66,7 @@ def boilerplate_lines(spark, d):
 
 
 def clean_pages(spark, d):
-    out = E.clean_pages(table(spark, d, "documents"), "source", "doc_id", "text", share=0.03)
+    out = E.clean_pages(spread(table(spark, d, "documents")), "source", "doc_id", "text", share=0.03)
     return out.select(F.col("page").alias("doc_id"), F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("n_clean"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as R
 from ..operators import windows as W
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 N_QUERIES, K_WORDS, K_DENSE = 8, 40, 40
 
@@ -19,7 +19,7 @@ def query_terms(spark, d):
 
 
 def _index(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0, "source": 1.5})
+    return R.postings(spread(table(spark, d, "documents")), "doc_id", {"text": 1.0, "source": 1.5})
 
 
 def bm25_topk(spark, d):
