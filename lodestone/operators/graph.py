@@ -12,8 +12,13 @@ def node_key(kind, name):
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
     """The first edge of each (src, predicate, dst) by pos, without self loops."""
-    first = Window.partitionBy("src", "predicate", "dst").orderBy("pos")
-    return edges.filter(F.col("src") != F.col("dst")).withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+    keys = ["src", "predicate", "dst"]
+    rest = [c for c in edges.columns if c not in (*keys, "pos")]
+    grouped = edges.filter(F.col("src") != F.col("dst")).groupBy(*keys)
+    # Partly aggregated before the shuffle, which row numbers would not be.
+    if not rest:
+        return grouped.agg(F.min("pos").alias("pos"))
+    return grouped.agg(F.min(F.struct("pos", *rest)).alias("first")).select(*keys, "first.*")
 
 
 def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
