@@ -134,8 +134,12 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
         own = np.fromiter({number[w] for w in words[i]}, np.int64)
         n = sub_counts[own]
         words_in[np.unique(ids[np.repeat(sub_start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())])] += 1
-    table[words_in < max(min_texts, min_share * len(taught))] = 0
-    known = (words_in >= max(min_texts, min_share * len(taught)))[:, None]
+    common = np.flatnonzero(words_in >= max(min_texts, min_share * len(taught)))
+    compact = np.full(BUCKETS, -1, np.int32)
+    compact[common] = np.arange(len(common))
+    ids, table = compact[ids], table[common]  # the others count in averages only
+    held = np.bincount(np.repeat(np.arange(len(vocabulary)), sub_counts)[ids >= 0], minlength=len(vocabulary))
+    ids, sub_start = ids[ids >= 0], np.cumsum(held) - held
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, head, offset)]
     step = 0
     for epoch in range(epochs):
@@ -143,7 +147,7 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
         if epoch >= epochs // 3:
             of_bucket = table @ (head[:, 1] - head[:, 0])
             of_word = np.concatenate([  # in pieces, to hold little at once
-                sums_by(of_bucket[ids[sub_start[a] : sub_start[a] + sub_counts[a : a + 20_000].sum()]], sub_counts[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)
+                sums_by(of_bucket[ids[sub_start[a] : sub_start[a] + held[a : a + 20_000].sum()]], held[a : a + 20_000]) for a in range(0, len(vocabulary), 20_000)
             ]) / sub_counts
             margin = sums_by(of_word[flat], runs) / np.maximum(runs, LEAST)
             order = np.lexsort((-margin, owner))
@@ -156,9 +160,9 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
             n = runs[part]
             tokens = flat[np.repeat(run_start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             uniq, back = np.unique(tokens, return_inverse=True)
-            spans = sub_counts[uniq]
+            spans, whole = held[uniq], sub_counts[uniq][:, None]
             subs = ids[np.repeat(sub_start[uniq] - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())]
-            vectors = sums_by(table[subs], spans) / spans[:, None]
+            vectors = sums_by(table[subs], spans) / whole
             slots = np.maximum(n, LEAST)[:, None]
             mean = sums_by(vectors[back], n) / slots
             logits = mean @ head + offset
@@ -167,15 +171,17 @@ def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = Non
             p[np.arange(len(part)), label[part]] -= 1
             p /= len(part)
             to_word = np.repeat((p @ head.T) / slots, n, axis=0)
-            word_grad = np.stack([np.bincount(back, to_word[:, d], minlength=len(uniq)) for d in range(DIM)], 1) / spans[:, None]
+            word_grad = np.stack([np.bincount(back, to_word[:, d], minlength=len(uniq)) for d in range(DIM)], 1) / whole
             sub_grad = np.repeat(word_grad, spans, axis=0)
-            grads = [np.stack([np.bincount(subs, sub_grad[:, d], minlength=BUCKETS) for d in range(DIM)], 1) * known, mean.T @ p, p.sum(axis=0)]
+            grads = [np.stack([np.bincount(subs, sub_grad[:, d], minlength=len(common)) for d in range(DIM)], 1), mean.T @ p, p.sum(axis=0)]
             step += 1
             for value, grad, (m, v) in zip((table, head, offset), grads, state):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + damp)
-    model = Softmax(table @ (head[:, 1] - head[:, 0]), float(offset[1] - offset[0]))
+    margin = np.zeros(BUCKETS)
+    margin[common] = table @ (head[:, 1] - head[:, 0])
+    model = Softmax(margin, float(offset[1] - offset[0]))
     return _calibrated(model, [words[i] for i in sorted(aside)], toxic[sorted(aside)], prior)
 
 
