@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cap_per_key(rows: DataFrame, key: str, order: list[Column], cap: int) -> DataFrame:
+def cap_per_key(rows: DataFrame, key: str | list[str], order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each key: one cap alone is an exact window, and
     the filter on the row number limits each sort before the shuffle."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= cap)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -77,27 +77,51 @@ def first_wins_flatten(spark, d):
     return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").groupBy("bucket").agg(F.count(F.lit(1)).alias("units"))
 
 
-def quota_pick(spark, d):
-    """Joint greedy quotas: urgent orders always, others under a cap for each
-    customer and for each status, up to a target: sequential by nature, so the
-    short ranked list goes through one grouped task for each priority."""
-    orders = W.cap_per_key(table(spark, d, "orders"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 5)
+def quota_seats(orders: DataFrame, per_host: int = 2, per_kind: int = 90, target: int = 200, width: float = 100.0) -> DataFrame:
+    """Seats of each priority, dearest order first: urgent orders always, others
+    under a cap for each customer and each status, up to a target.
+
+    Urgent orders meet no cap, so their seats are ranks: counts of each stretch
+    of prices give the offsets, and no task sorts them all.  The others are
+    picked one after the other in one task for each priority, from a shortlist
+    that gives the same seats.  An order that a cap refuses stays refused, so of
+    a customer's orders of one priority and status only the first ``per_host``
+    can get a seat.  At most ``target // per_host`` customers get full, so at most
+    ``target`` orders of that shortlist are refused for their customer; of the
+    first ``target + per_kind`` of a status the rest fill it or meet the target.
+    """
+    keep = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    dearest = [F.desc("o_totalprice"), F.col("o_orderkey")]
+    urgent = F.col("o_orderpriority").startswith("1")
+    out = "o_orderkey long, o_orderpriority string, seat int"
+
+    placed = keep.filter(urgent).withColumn("stretch", F.floor(-F.col("o_totalprice") / width))
+    counts = placed.groupBy("o_orderpriority", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("o_orderpriority").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("o_orderpriority", "stretch", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("o_orderpriority", "stretch").orderBy(*dearest))
+    always = placed.join(offsets, ["o_orderpriority", "stretch"]).select("o_orderkey", "o_orderpriority", (F.col("offset") + within).cast("int").alias("seat"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         hosts: dict = {}
         kinds: dict = {}
         out = []
         for r in pdf.sort_values(["o_totalprice", "o_orderkey"], ascending=[False, True]).itertuples():
-            always = r.o_orderpriority.startswith("1")
-            if not always and (len(out) >= 200 or hosts.get(r.o_custkey, 0) >= 2 or kinds.get(r.o_orderstatus, 0) >= 90):
+            if len(out) >= target or hosts.get(r.o_custkey, 0) >= per_host or kinds.get(r.o_orderstatus, 0) >= per_kind:
                 continue
             hosts[r.o_custkey] = hosts.get(r.o_custkey, 0) + 1
             kinds[r.o_orderstatus] = kinds.get(r.o_orderstatus, 0) + 1
             out.append(r.o_orderkey)
         return pd.DataFrame({"o_orderkey": out, "o_orderpriority": pdf["o_orderpriority"].iloc[0], "seat": range(1, len(out) + 1)})
 
-    keep = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return keep.groupBy("o_orderpriority").applyInPandas(pick, "o_orderkey long, o_orderpriority string, seat int")
+    short = W.cap_per_key(keep.filter(~urgent), ["o_orderpriority", "o_orderstatus", "o_custkey"], dearest, per_host)
+    short = W.cap_per_key(short, ["o_orderpriority", "o_orderstatus"], dearest, target + per_kind).drop("place")
+    return always.unionByName(short.groupBy("o_orderpriority").applyInPandas(pick, out))
+
+
+def quota_pick(spark, d):
+    """Greedy quotas for each priority over all orders."""
+    return quota_seats(table(spark, d, "orders"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -246,3 +246,36 @@ def test_parquet_of_the_pipeline_of_units_is_partitioned(spark, sf_dir, tmp_path
     assert {r["kind"] for r in counts.collect()} == {"fact", "chunk", "org", "course"}
     read = spark.read.parquet(str(tmp_path / "u")).filter(F.col("kind") == "org")
     assert "PartitionFilters: [isnotnull(kind" in read._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("caps", [(2, 90, 200), (2, 7, 15), (1, 3, 12), (3, 40, 30)])
+def test_quota_seats_are_those_of_all_orders(spark, caps):
+    import random
+
+    from lodestone.plans.windows import quota_seats
+
+    per_host, per_kind, target = caps
+    rng = random.Random(7)
+    # Customer 1 holds a third of all orders, and the dearest.
+    rows = [(i, 1 if i % 3 == 0 else rng.randrange(2, 40), rng.choice("FFFFOP"), rng.randrange(100, 900) + (400.0 if i % 3 == 0 else 0.0), f"{rng.randrange(1, 4)}-X") for i in range(1500)]
+    want = set()
+    for priority in ("1-X", "2-X", "3-X"):
+        hosts, kinds, out = {}, {}, []
+        for key, host, kind, _, _ in sorted((r for r in rows if r[4] == priority), key=lambda r: (-r[3], r[0])):
+            if priority != "1-X" and (len(out) >= target or hosts.get(host, 0) >= per_host or kinds.get(kind, 0) >= per_kind):
+                continue
+            hosts[host], kinds[kind] = hosts.get(host, 0) + 1, kinds.get(kind, 0) + 1
+            out.append(key)
+        want |= {(key, priority, seat) for seat, key in enumerate(out, 1)}
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    got = [tuple(r) for r in quota_seats(df, *caps).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_quota_pick_seats_every_urgent_order(spark, sf_dir):
+    from lodestone import plans
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    urgent = {r[0] for r in orders.filter("o_orderpriority LIKE '1%'").select("o_orderkey").collect()}
+    seated = {r["o_orderkey"] for r in plans.queries()["quota_pick"](spark, sf_dir).collect() if r["o_orderpriority"].startswith("1")}
+    assert seated == urgent
