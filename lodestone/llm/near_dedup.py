@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_size (rows), is_kept (the row that stays of its class).  Texts with
     the same words are one text throughout; texts without words (null, empty)
     are each their own class, and so are rows with a null id.  Rows that repeat
-    both id and text share one flag.  Ids must be orderable.
+    both id and text share one flag; different texts under one id are texts of
+    their own.  Ids must be orderable.
 
     The keys of a band group distinct texts; a text is linked to the smallest
     of its group only, so a group of n gives n - 1 links.  Candidate components
@@ -241,20 +242,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(signatures(rows, idf, shingle, bands, per_band), "signatures")
     worded = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     distinct = cut(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"), F.min_by("keys", "doc_id").alias("keys")), "distinct-texts")
-    banded = distinct.select("rep", F.posexplode("keys").alias("band", "key"))
-    first = banded.groupBy("band", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    links = banded.join(first, ["band", "key"]).filter(F.col("rep") > F.col("a")).select("a", F.col("rep").alias("b"))
+    # The digest names a text: an id can stand for several.
+    banded = distinct.select("digest", F.posexplode("keys").alias("band", "key"))
+    first = banded.groupBy("band", "key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    links = banded.join(first, ["band", "key"]).filter(F.col("digest") > F.col("a")).select("a", F.col("digest").alias("b"))
     groups = components(links, "near-links")
     members = groups.union(groups.select(F.col("comp").alias("node"), "comp").distinct())
     classes = _verify(rows, distinct, members, idf, shingle, threshold, most_texts)
-    of_text = distinct.join(classes, distinct["rep"] == classes["node"], "left").select("digest", F.coalesce("cls", "rep").alias("cls"))
+    of_text = distinct.join(classes, distinct["digest"] == classes["node"], "left").select("digest", F.coalesce("cls", "digest").alias("cls"))
     of_row = salted_join(worded.select("doc_id", "th", "digest"), of_text, "digest", ["doc_id"])
     sizes = of_row.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
     keyed = rows.select("doc_id", text_key())
     joined = join_rows(keyed, of_row.select("doc_id", "th", "cls").distinct())
     joined = salted_join(joined, sizes, "cls", ["doc_id"], how="left")
     return joined.select(
-        "doc_id", "th", F.coalesce("cls", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"),
+        "doc_id", "th", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("class_size"),
         (F.col("cls").isNull() | ((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.th") == F.col("th")))).alias("is_kept"),
     )
 
@@ -280,8 +282,8 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
         return pd.DataFrame({"node": [a for a, _ in found], "comp": pdf["comp"].iloc[0], "cls": [b for _, b in found]})
 
     kind = members.schema["node"].dataType.simpleString()
-    placed = members.join(distinct.select(F.col("rep").alias("node"), "th"), "node").withColumnRenamed("th", "h")
-    once = placed.select(F.col("node").alias("doc_id"), F.col("h").alias("th"), "node", "comp")
+    placed = members.join(distinct.select(F.col("digest").alias("node"), "rep", "th"), "node")
+    once = placed.select(F.col("rep").alias("doc_id"), "th", "node", "comp")
     with_text = join_rows(rows.withColumn("th", F.xxhash64("text")), once, "inner", hash_right=True).select("node", "comp", "text")
     sets = cut(with_text.mapInArrow(expand, f"node {kind}, comp {kind}, s binary, w binary"), "near-sets")
     live, mapping, first_sizes = sets, None, None

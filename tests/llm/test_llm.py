@@ -1,6 +1,7 @@
 """Corpus operators against SQL, brute force and held-out labels, and on odd input."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -404,3 +405,32 @@ def test_pipeline_stages(spark):
     leaks = decontam.decontaminate(docs, spark.read.parquet(f"{d}/benchmark.parquet")).filter(F.col("n_items") > 0).select("doc_id")
     kept = corpus_pipeline.decontaminate(spark, docs, d)
     assert kept.join(leaks, "doc_id").count() == 0 and kept.count() == docs.count() - leaks.count()
+
+
+@pytest.mark.parametrize("most", [20_000, 2])
+def test_texts_under_one_id_are_classed_apart(spark, most):
+    rng = random.Random(11)
+    words = lambda tag, n=60: " ".join(f"{tag}{rng.randrange(10_000)}" for _ in range(n))
+    a, b, c, d = words("a"), words("b"), words("c"), words("d")
+    near = lambda text: text.rsplit(" ", 1)[0] + " changed"
+    # Id 1 holds two unrelated texts, each with an exact or near copy elsewhere; id 5 holds two near copies.
+    rows = [(1, a), (1, b), (2, a), (3, near(b)), (4, c), (5, d), (5, near(d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    got = near_dedup.near_duplicates(docs.select("doc_id", "text"), most_texts=most).join(docs, ["doc_id", "th"]).collect()
+    found = {(r["doc_id"], r["text"]): (r["class_id"], r["class_size"], r["is_kept"]) for r in got}
+    assert len(got) == len(rows)
+    assert found[1, a] == (1, 2, True) and found[2, a] == (1, 2, False)
+    assert found[1, b] == (1, 2, True) and found[3, near(b)] == (1, 2, False)
+    assert found[4, c] == (4, 1, True)
+    assert sorted(found[5, t] for t in (d, near(d))) == [(5, 2, False), (5, 2, True)]
+
+
+def test_pipeline_keeps_unrelated_texts_under_one_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b = (" ".join(f"{tag}{rng.randrange(10_000)}" for _ in range(60)) for tag in "ab")
+    rows = [(1, a, "en", "web", len(a)), (1, b, "en", "web", len(b)), (2, a, "en", "web", len(a)), (3, b, "en", "web", len(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.dedup_documents(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b)])
