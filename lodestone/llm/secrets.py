@@ -76,17 +76,18 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rule_version
     """New ledger rows (blob, rule_version, found) for the blobs of ``docs``
     that ``ledger`` has not under this rule version; blobs without findings get
     an empty array, so that they are not scanned again."""
-    rows = keyed(docs, id_col, text_col)
-    fresh = rows.groupBy("blob").agg(F.min("doc_id").alias("rep"))
+    rows = keyed(docs, id_col, text_col).withColumn("at", F.xxhash64("doc_id", "blob"))
+    fresh = rows.groupBy("blob").agg(F.min("at").alias("rep"))
     if ledger is not None:
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
         fresh = fresh.join(known, "blob", "left_anti")
-    # One document stands for each blob; joined by its id as well, copies of a
-    # blob, however many, spread over the tasks and stay behind.
+    # One document stands for each blob; joined by the hash of its id as well,
+    # copies of a blob, however many, spread over the tasks and stay behind.
+    # Rows that repeat its id (or its null) meet in one task: one of them stays.
     once = rows.join(
         fresh.select(F.col("blob").alias("b"), "rep").hint("shuffle_hash"),
-        rows["doc_id"].eqNullSafe(F.col("rep")) & (rows["blob"] == F.col("b")), "left_semi",
-    )
+        (rows["at"] == F.col("rep")) & (rows["blob"] == F.col("b")), "left_semi",
+    ).select("at", "blob", "text").dropDuplicates(["at", "blob"])
     found = scan_blobs(once.select("blob", "text")).select("blob", F.array_distinct("found").alias("found"))
     return (
         fresh.select("blob").join(found, "blob", "left")
