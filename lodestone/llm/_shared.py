@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,17 +18,26 @@ WORD_BYTES = bytes(
 )
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or a temporary one on one machine."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.gettempdir() + "/lodestone-shared"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder stands in.  The path goes when the
-    JVM ends.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a session on one
+    machine may leave that unset: a temporary folder stands in.  Elsewhere each
+    executor would write to a disk of its own, so that is an error.  The path
+    goes when the JVM ends.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.gettempdir() + "/lodestone-shared"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -42,10 +52,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what a Python worker holds at once, also when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of ``rows``: bounds what a worker unpacks at once.
+    The session's own limit on bytes a batch bounds what reaches it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def bins(spark: SparkSession) -> int:
@@ -72,12 +84,13 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "left", hash_right:
     return joined if how in ("left_semi", "left_anti") else joined.drop("__doc_id", "__th")
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, spread: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str | list[str], spread: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys spread over ``salts`` partitions: rows of ``big``
     draw a salt from ``spread``, rows of ``small`` are repeated for each salt."""
+    keys = [key] if isinstance(key, str) else key
     left = big.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def held_out(doc_id: Column) -> Column:

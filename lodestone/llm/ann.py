@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import bins, cut, small_batches
+from ._shared import bins, cut, slices
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
@@ -92,6 +92,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each divided by a power of two so that its
+    largest component lies between a half and one: no square overflows or
+    vanishes, and no digit is lost."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def _matrix(values, kind) -> np.ndarray:
     return np.array([np.frombuffer(v, kind) for v in values])
 
@@ -103,17 +116,20 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     Returns query_id, rank (from 1), vec_id, score: the cosine in double
     precision on the original vectors.  Fewer than ``k`` other rows give all of
     them.  Vectors that are null, zero or have null or non-finite components, or
-    another dimension than most of the sample, take no part; an empty table
-    gives an empty result.
+    another dimension than most of the sample, take no part.  Of rows that repeat
+    an id the smallest vector counts, rows with a null id take no part, other
+    columns are ignored whatever their names, and an empty table gives an empty
+    result.  Vectors may be long; a row's memory is that of its vector.
 
     The fit sees at most about ``max_sample`` vectors, drawn by a hash of the
     id; every row is indexed.  Rows are dealt to shards by a hash of the id, so
     equal vectors or a crowded list spread evenly; each shard holds its part of
-    every list.  Queries visit the shards in blocks, and a shard returns its
-    ``k`` best after reranking ``rerank`` candidates exactly.
+    every list.  Queries visit the shards in blocks.  In each shard a query visits
+    ``index.probes`` lists, and the next nearest ones as long as they hold fewer
+    than ``k`` candidates, so that no query gets fewer than there are.  A shard
+    returns its ``k`` best after reranking ``rerank`` candidates exactly.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4096)
     rows = cut(usable(vectors, id_col, vector_col), "vectors")
     n = rows.count()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -126,20 +142,15 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     sample = [np.array(r["v"], np.float64) for r in drawn.select("v").toLocalIterator()]
     sizes = [len(v) for v in sample]
     dims = max(set(sizes), key=lambda d: (sizes.count(d), -d))
-    unit = np.array([v for v in sample if len(v) == dims])
-    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-    index = fit_index(unit, n)
+    index = fit_index(unit_rows(np.array([v for v in sample if len(v) == dims])), n)
     exact = np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
 
     def encode(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 4096):
             x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), exact).reshape(batch.num_rows, dims)
-            wide = x.astype(np.float64)
-            lists, codes = index.encode((wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32))
+            lists, codes = index.encode(unit_rows(x))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lists, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
                 ["vec_id", "list", "codes", "v"],
@@ -151,15 +162,16 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
             left = left.sort_values(["list", "vec_id"])
             ids, lists, codes = left["vec_id"].to_numpy(), left["list"].to_numpy(), np.ascontiguousarray(_matrix(left["codes"], np.uint8).T)
             x = _matrix(left["v"], exact)
-            norms = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
             starts, ends = np.searchsorted(lists, np.arange(len(index.coarse))), np.searchsorted(lists, np.arange(len(index.coarse)), side="right")
             parts = np.arange(len(codes))[:, None]
             for query, v in zip(right["vec_id"], right["v"]):
-                q = np.frombuffer(v, exact).astype(np.float64)
+                q = scaled(np.frombuffer(v, exact)[None])[0]
                 size = np.sqrt((q**2).sum())
                 near = (q / size).astype(np.float32)
                 coarse = index.coarse @ near
-                visited = np.argsort(-coarse, kind="stable")[: index.probes]
+                visited = np.argsort(-coarse, kind="stable")
+                enough = np.searchsorted(np.cumsum((ends - starts)[visited]), k + 1) + 1  # the query itself may be one
+                visited = visited[: max(index.probes, int(enough))]
                 at = np.concatenate([np.arange(starts[j], ends[j]) for j in visited])
                 at = at[ids[at] != query]
                 if not len(at):
@@ -167,7 +179,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                 tables = np.einsum("pcw,pw->pc", index.codebooks, index.padded(near[None])[0])
                 guess = coarse[lists[at]] + tables[parts, codes[:, at]].sum(axis=0)
                 best = at[np.lexsort((ids[at], -guess))[:rerank]]
-                score = (x[best].astype(np.float64) @ q) / (norms[best] * size)
+                exactly = scaled(x[best])
+                score = (exactly @ q) / (np.sqrt((exactly**2).sum(axis=1)) * size)
                 top = np.lexsort((ids[best], -score))[:k]
                 found += [(query, int(ids[best[t]]), float(score[t])) for t in top]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

@@ -1,23 +1,23 @@
 """Benchmark decontamination by a prefix-filtered join.
 
 Each window of an item (8 consecutive words, or the whole of a shorter item) is
-a record of word shingles ordered by rarity in the whole corpus.  Containment
-must be complete, so the necessary prefix of a record is its rarest word alone:
-a document can hold the window only where it holds that word.  The word's offset
-gives the only possible start (positional bound), start and end must lie inside
-the document (length bound), and the item-sized window is verified word by word.
+a record of words ordered by rarity in the whole corpus.  Containment must be
+complete, so the necessary prefix of a record is its rarest word alone: a
+document can hold the window only where it holds that word.  The two are joined
+on it.  The word's offset gives the only possible start (positional bound), start
+and end must lie inside the document (length bound), and the item-sized window
+is verified word by word.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import binary_column, cut, join_rows, lower_ascii, salted_join, small_batches, text_key, words_of
+from ._shared import WordHashes, binary_column, cut, join_rows, lower_ascii, salted_join, slices, text_key, words_of
 
+FILTER_BITS = 23
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -35,121 +35,117 @@ def item_windows(bench: DataFrame, item_col: str, text_col: str, size: int) -> D
     )
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, broadcast_windows: int = 200_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Benchmark items found in each document.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): how often each word stands in all texts, partly counted in the
+    workers, each holding some hundred thousand words at most."""
 
-    Returns one row per input row: doc_id, n_words, n_hit (words inside any
-    occurrence of a window), n_items (items with an occurring window), items
-    (their ids as sorted strings, comma-joined), items_sha256, contaminated
-    (n_items >= ``min_items``), and the input's columns ``keep``.  Null or wordless texts have no words; items
-    without words or with a null id never match; repeated items count once.
+    def count(batches):
+        import pyarrow as pa
 
-    Benchmarks of up to ``broadcast_windows`` windows (counted first) travel to
-    the tasks, which then need no shuffle of texts; larger ones are joined by
-    shuffling words against the prefixes.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
-    windows = cut(item_windows(bench, item_col, item_text_col, window), "windows")
-    if windows.count() <= broadcast_windows:
-        found = _by_broadcast(rows, windows, min_items)
-    else:
-        found = _by_shuffle(rows, windows, min_items)
-    return found if text_col in keep else found.drop("text")
+        seen: dict[bytes, int] = {}
+        for batch in slices(batches):
+            for text in binary_column(batch, "text"):
+                for word in words_of(text):
+                    seen[word] = seen.get(word, 0) + 1
+                if len(seen) > 300_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    seen = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
+    return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-def _by_broadcast(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFrame:
-    found = [(tuple(w.encode() for w in win), tuple(items)) for win, items in windows.collect()]
-    vocabulary = {w for win, _ in found for w in win}
 
-    def count(batches):
+def filter_of(words: DataFrame) -> np.ndarray:
+    """A bit for each of 2**23 hash values that some word has: a megabyte however
+    many words there are.  A word without its bit is none of them."""
+
+    def mark(batches):
         import pyarrow as pa
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in binary_column(batch, "text"):
-                seen.update(filter(vocabulary.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    counted = rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    rarity = {bytes(word): n for word, n in counted}
-    prefixes: dict[bytes, list] = {}
-    for win, items in found:
-        rarest = min(range(len(win)), key=lambda j: (rarity.get(win[j], 0), win[j]))
-        if rarity.get(win[rarest], 0):
-            prefixes.setdefault(win[rarest], []).append((rarest, list(win), items))
-
-    def match(batches):
+        hashes, bits = WordHashes(), np.zeros(1 << FILTER_BITS, bool)
+        for batch in slices(batches, 4096):
+            bits[(hashes.of(binary_column(batch, "word")) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        at = np.flatnonzero(np.packbits(bits).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.packbits(bits).view(np.int64)[at], pa.int64())], ["at", "bits"])
+
+    found = words.select("word").mapInArrow(mark, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    packed = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    packed[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.unpackbits(packed.view(np.uint8)).astype(bool)
+
+
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 8, min_items: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Benchmark items found in each document.
+
+    Returns one row per input row: doc_id, n_words, n_hit (words inside any
+    occurrence of a window), n_items (items with an occurring window), items
+    (their ids as sorted strings, comma-joined), items_sha256, contaminated
+    (n_items >= ``min_items``), and the input's columns ``keep``.  Null or
+    wordless texts have no words; items without words or with a null id never
+    match; repeated items count once.  Repeated rows and rows with a null id each
+    get their row; other columns are ignored whatever their names; empty tables
+    give an empty result or no hits.  Of a long text only the words around
+    possible prefixes travel.
+
+    A filter of one megabyte keeps the places of prefix words, with the words
+    around each; they meet the windows in a salted join on the word, and the
+    window is verified among the words around.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in keep if c not in (id_col, text_col)])
+    windows = item_windows(bench, item_col, item_text_col, window).withColumn("win_id", F.unhex(F.md5(F.array_join("win", " "))))
+    windows = cut(windows, "windows")
+    tokens = windows.select("win_id", F.posexplode("win").alias("offset", "word"))
+    rarity = word_counts(rows).join(tokens.select("word").distinct(), "word", "left_semi")
+    # A window with a word that no document has occurs nowhere.
+    rarest = tokens.join(rarity, "word", "left").groupBy("win_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p")).filter(F.col("p.n") > 0)
+    prefix = cut(windows.join(rarest, "win_id").select("win", "items", F.col("p.word").alias("word"), F.col("p.offset").alias("offset")), "window-prefixes")
+    bits = filter_of(prefix)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def places(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            n_words, n_hit, joined = [], [], []
-            for text in binary_column(batch, "text"):
+        hashes = WordHashes()
+        for batch in slices(batches):
+            row, at, spot, before, around = [], [], [], [], []
+            for i, text in enumerate(binary_column(batch, "text")):
                 words = words_of(text)
-                n, hit, items = len(words), None, set()
-                for at in [i for i, w in enumerate(words) if w in prefixes]:
-                    for offset, win, ids in prefixes[words[at]]:
-                        start = at - offset
-                        end = start + len(win)
-                        if start >= 0 and end <= n and words[start:end] == win:
-                            hit = hit or bytearray(n)
-                            hit[start:end] = b"\1" * len(win)
-                            items.update(ids)
-                n_words.append(n)
-                n_hit.append(sum(hit) if hit else 0)
-                joined.append(sorted(items))
+                if not words:
+                    continue
+                for j in np.flatnonzero(bits[(hashes.of(words) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
+                    start = max(0, j - window + 1)
+                    row.append(i)
+                    at.append(start)
+                    spot.append(words[j])
+                    before.append(j - start)
+                    around.append(words[start : j + window])
+            take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in joined], pa.int64()),
-                    pa.array([",".join(x) for x in joined], pa.string()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in joined], pa.string()),
-                    pa.array([len(x) >= min_items for x in joined], pa.bool_()),
-                ],
-                [*batch.schema.names, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(spot, pa.binary()).cast(pa.string()), pa.array(at, pa.int32()),
+                 pa.array(before, pa.int32()), pa.array(around, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
+                ["doc_id", "th", "word", "at", "before", "around"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(match, f"{fields}, n_words long, n_hit long, n_items long, items string, items_sha256 string, contaminated boolean")
-
-
-def _by_shuffle(rows: DataFrame, windows: DataFrame, min_items: int) -> DataFrame:
-    numbered = windows.withColumn("win_id", F.md5(F.array_join("win", " ")))
-    split = rows.select(
-        *rows.columns, text_key(),
-        F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"),
-    )
-    spots = split.select("doc_id", "th", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    tokens = numbered.select("win_id", F.size("win").alias("len"), F.posexplode("win").alias("offset", "word"))
-    rarity = salted_join(spots, tokens.select("word").distinct(), "word", ["doc_id", "at"]).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    prefix = (
-        tokens.join(rarity, "word", "left")
-        .groupBy("win_id", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
-        .select("win_id", "len", F.col("p.word").alias("word"), F.col("p.offset").alias("offset"))
-    )
-    candidates = (
+    spots = rows.select("doc_id", text_key(), "text").mapInArrow(places, f"doc_id {kind}, th long, word string, at int, before int, around array<string>")
+    start = F.col("before") - F.col("offset")
+    hits = (
         salted_join(spots, prefix, "word", ["doc_id", "at"])
-        .withColumn("start", F.col("at") - F.col("offset"))
-        .filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-        .select("doc_id", "th", "start", "win_id")
+        .filter((start >= 0) & (start + F.size("win") <= F.size("around")))
+        .filter(F.slice("around", start + 1, F.size("win")) == F.col("win"))
+        .select("doc_id", "th", (F.col("at") + start).alias("start"), F.size("win").alias("len"), "items")
     )
-    sliced = join_rows(candidates, split.select("doc_id", "th", "words").dropDuplicates(["doc_id", "th"]), "inner")
-    with_len = sliced.join(numbered, "win_id")
-    hits = (
-        with_len.filter(F.slice("words", F.col("start") + 1, F.size("win")) == F.col("win"))
-        .groupBy("doc_id", "th").agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.size("win") - 1))))).alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
-        )
+    found = hits.groupBy("doc_id", "th").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1))))).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
     )
-    joined = join_rows(split, hits).withColumn("n", F.size("words"))
+    n_words = F.regexp_count(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD))
+    wanted = rows.columns if text_col in keep else [c for c in rows.columns if c != "text"]
+    joined = join_rows(rows.select(*wanted, text_key(), n_words.alias("n")), found, hash_right=True)
     items = F.coalesce(F.array_join("found", ","), F.lit(""))
     n_items = F.coalesce(F.size("found"), F.lit(0))
     return joined.select(
-        *rows.columns, F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        *wanted, F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         n_items.cast("long").alias("n_items"), items.alias("items"), F.sha2(items, 256).alias("items_sha256"),
         (n_items >= min_items).alias("contaminated"),
     )

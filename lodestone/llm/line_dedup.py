@@ -24,7 +24,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null or empty text is one empty line; lines whose key is shorter than
     ``min_chars`` always stay.  A document counts once for each key; rows that
     repeat an id count as one document, and so do all rows with a null id.
-    Extra columns are ignored; an empty table gives an empty result.
+    Other columns are ignored whatever their names, an empty table gives an empty
+    result, and a very long text is split like any other.
 
     Lines are hashed once and written as (id, place, 16-byte hash); counts and
     the search for hits read those only, hot ones partly counted before the

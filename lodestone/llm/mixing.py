@@ -130,8 +130,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``weights`` in turn.  A source whose target reaches its size gives every
     document once and the rest of the target by second copies.  Which documents
     of one length are taken follows a seeded hash of the id, so reruns agree;
-    rows repeating an id are taken or left one by one.  An empty table gives an
-    empty result.
+    rows repeating an id are taken or left one by one, those with a null id too.
+    Other columns are ignored whatever their names, an empty table gives an empty
+    result, and a very long text is one large item.
 
     Only counts by (source, length) leave the rows: a source's fit sees one row
     per distinct length, and ranks are dealt within 256 parts of a length, so

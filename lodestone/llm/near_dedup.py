@@ -1,11 +1,14 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
-Texts are weighted sets of five-word shingles: term frequency times the inverse
-document frequency of the shingle's bucket among 2**18 hashed features, counted
-over all documents.  Each of ``bands * rows`` samples picks a shingle such that
-two texts agree with a probability equal to their weighted Jaccard similarity;
-texts that agree in all rows of a band are candidates; candidates are verified
-by their exact weighted Jaccard similarity.
+Texts are weighted sets of five-word shingles: term frequency times inverse
+document frequency, that of a shingle being the mean of its words'.  (A
+shingle's own document frequency is 1 almost everywhere at any size, which would
+leave plain term frequency, and copies of a text would lower the weight of what
+they share against that of their few edits.)  Words are counted over all
+documents.  Each of ``bands * rows`` samples picks a shingle such that two texts
+agree with a probability equal to their weighted Jaccard similarity; texts that
+agree in all rows of a band are candidates; candidates are verified by their
+exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -15,43 +18,90 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, binary_column, cut, join_rows, mix64, salted_join, shingle_hashes, small_batches, text_key, texts, words_of
+from ._shared import binary_column, cut, join_rows, mix64, salted_join, shingle_hashes, slices, text_key, texts, words_of
 
-FEATURES = 1 << 18
 
+class Weights:
+    """Hashes and inverse document frequencies of words.
 
-def bucket_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(46)).astype(np.int64)
+    ``keys`` are the sorted hashes of words that at least a share ``rare`` of the
+    documents hold, at most mean distinct words / ``rare`` whatever the size of
+    the corpus; every other word weighs as if just that share held it.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_docs: int, rare: float, bound: int = 400_000):
+        self.keys, self.bound = keys, bound
+        self.idf = np.log1p(n_docs / np.maximum(counts, 1)).astype(np.float32)
+        self.most = np.float32(np.log1p(1 / rare))
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.weight = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        import xxhash
 
-def document_frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """Documents that hold each of the 2**18 features, over all rows, and how
-    many documents have words.  The driver gets one number for each feature."""
+        if len(self.number) > self.bound:
+            self.clear()
+        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == hashes if len(self.keys) else np.zeros(len(new), bool)
+            weights = np.full(len(new), self.most, np.float32)
+            weights[known] = self.idf[at[known]]
+            self.hash, self.weight = np.concatenate([self.hash, hashes]), np.concatenate([self.weight, weights])
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return self.hash[at], self.weight[at]
+
+    def shingles(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles in ascending order and their TF-IDF weights."""
+        hashes, weights = self.look_up(words)
+        size = min(size, len(words))
+        total = np.zeros(len(words) - size + 1, np.float32)
+        for j in range(size):
+            total += weights[j : len(total) + j]
+        found, at, tf = np.unique(shingle_hashes(hashes, size), return_index=True, return_counts=True)
+        return found, tf.astype(np.float32) * (total[at] / np.float32(size))
+
+
+def document_frequencies(rows: DataFrame, rare: float) -> Weights:
+    """Counts the documents that hold each word, over all rows; the driver gets
+    the words that at least a share ``rare`` of the documents hold."""
 
     def count(batches):
         import pyarrow as pa
+        import xxhash
 
-        hashes, total = WordHashes(), np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
-            for text in binary_column(batch, "text"):
-                words = words_of(text)
-                if words:
-                    total[FEATURES] += 1
-                    total[np.unique(bucket_of(shingle_hashes(hashes.of(words), size)))] += 1
-        filled = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(total[filled], pa.int64())], ["feature", "n"])
-
-    parts = rows.select("text").mapInArrow(count, "feature int, n long")
-    found = parts.groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(FEATURES + 1, np.int64)
-    total[found["feature"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return total[:FEATURES], int(total[FEATURES])
+        seen: dict[bytes, int] = {}
+        n = 0
 
+        def out():
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-def weighted_shingles(words: list[bytes], hashes: WordHashes, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in ascending order and their TF-IDF weights."""
-    found, tf = np.unique(shingle_hashes(hashes.of(words), size), return_counts=True)
-    return found, tf.astype(np.float32) * idf[bucket_of(found)]
+        for batch in slices(batches):
+            for text in binary_column(batch, "text"):
+                words = set(words_of(text))
+                n += bool(words)
+                for word in words:
+                    seen[word] = seen.get(word, 0) + 1
+                if len(seen) > 300_000:
+                    yield out()
+                    seen = {}
+        yield out()
+        # How many documents have words, under a null word.
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["word", "n"])
+
+    counts = cut(rows.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-frequencies")
+    total = counts.filter(F.col("word").isNull()).first()
+    n_docs = total["n"] if total else 0
+    found = counts.filter(F.col("word").isNotNull() & (F.col("n") >= max(1.0, rare * n_docs))).toPandas()
+    keys = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Weights(keys[order], found["n"].to_numpy(np.int64)[order], n_docs, rare)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -72,7 +122,7 @@ def sample(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int
         first = mix64(shingles + np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 % 2**64))
         u = _uniform(first)
         r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-        beta = ((first * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
+        beta = (mix64(first + np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
         t = np.floor(log_w / r + beta)
         bits = (np.log(c) - r * (t + 1 - beta)).astype(np.float32).view(np.uint32)
         # Floats as integers of the same order, with the place below.
@@ -83,7 +133,7 @@ def sample(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int
     return mix64(out)
 
 
-def signatures(rows: DataFrame, idf: np.ndarray, size: int, bands: int, per_band: int) -> DataFrame:
+def signatures(rows: DataFrame, weights: Weights, size: int, bands: int, per_band: int) -> DataFrame:
     """doc_id, th, digest of the words (null without words), keys (one per band)."""
     step = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,15 +150,14 @@ def signatures(rows: DataFrame, idf: np.ndarray, size: int, bands: int, per_band
         import pyarrow as pa
         import xxhash
 
-        hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             digests, keys, waiting, found, size_now = [], [], [], [], 0
             for i, text in enumerate(binary_column(batch, "text")):
                 words = words_of(text)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 keys.append([])
                 if words:
-                    found.append(weighted_shingles(words, hashes, idf, size))
+                    found.append(weights.shingles(words, size))
                     waiting.append(i)
                     size_now += len(found[-1][0])
                 if found and (size_now > 16_384 or i == batch.num_rows - 1):
@@ -124,20 +173,25 @@ def signatures(rows: DataFrame, idf: np.ndarray, size: int, bands: int, per_band
     return rows.select("doc_id", text_key(), "text").mapInArrow(sign, f"doc_id {kind}, th long, digest binary, keys array<long>")
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of (a, b) with a < b: rows (node, comp), comp the
     smallest node.  Alternating large-star and small-star steps, each with its
-    edges written to shared storage; only their number reaches the driver."""
+    edges written to shared storage; only their number and the sum of their
+    hashes reach the driver.  The rounds end when nothing changes any more, which
+    takes about the logarithm of the nodes; ten times that is an error."""
     edges = cut(edges.distinct(), name)
-    before = None
-    for _ in range(most_rounds):
+    before, rounds = None, 0
+    while True:
+        rounds += 1
+        if rounds > 400:
+            raise RuntimeError("connected components do not settle")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select(F.col("b"), F.col("a")))
-        large = large.filter(F.col("y") > F.col("x")).join(least.withColumnRenamed("a", "x"), "x").select(F.col("m").alias("a"), F.col("y").alias("b"))
+        large = salted_join(large.filter(F.col("y") > F.col("x")), least.withColumnRenamed("a", "x"), "x", ["y"], 8).select(F.col("m").alias("a"), F.col("y").alias("b"))
         large = cut(large.filter(F.col("a") < F.col("b")).distinct(), name)
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(lower, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        small = salted_join(large, lower, "b", ["a"], 8).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
         edges = cut(small.filter(F.col("a") < F.col("b")).distinct(), name)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -216,7 +270,7 @@ def link_group(ids: list, sets: list[np.ndarray], weights: list[np.ndarray], thr
     return [(ids[i], ids[find(i)]) for i in range(n)]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 10, per_band: int = 4, most_texts: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 10, per_band: int = 4, rare: float = 0.001, block_bytes: int = 4 << 20) -> DataFrame:
     """Class of each document under weighted Jaccard similarity >= threshold.
 
     Returns one row per input row: doc_id, class_id (smallest id of the class),
@@ -224,31 +278,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same words are one text throughout; texts without words (null, empty)
     are each their own class, and so are rows with a null id.  Rows that repeat
     both id and text share one flag; different texts under one id are texts of
-    their own.  Ids must be orderable.
+    their own.  Ids must be orderable.  Other columns are ignored whatever their
+    names, an empty table gives an empty result, and a very long text is sampled
+    whole.
 
     The keys of a band group distinct texts; a text is linked to the smallest
     of its group only, so a group of n gives n - 1 links.  Candidate components
-    then meet with their shingles: up to ``most_texts`` texts in one task.
-    Larger ones go by hashed blocks of that size.  The blocks' class
-    representatives meet again, round by round; then every text outside a
-    component's largest class visits all its blocks, which finds what is left:
-    a link between two classes has an end outside the largest one.
+    then meet with their shingles, in hashed blocks of about ``block_bytes``
+    each.  The blocks' class representatives meet again, round by round; then
+    every text outside a component's largest class visits all its blocks, which
+    finds what is left: a link between two classes has an end outside the
+    largest one.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = texts(docs, id_col, text_col)
-    totals, n_docs = document_frequencies(rows, shingle)
-    idf = np.log1p(n_docs / np.maximum(totals, 1)).astype(np.float32)
-    signed = cut(signatures(rows, idf, shingle, bands, per_band), "signatures")
+    weights = document_frequencies(rows, rare)
+    signed = cut(signatures(rows, weights, shingle, bands, per_band), "signatures")
     worded = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     distinct = cut(worded.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("th", "doc_id").alias("th"), F.min_by("keys", "doc_id").alias("keys")), "distinct-texts")
     # The digest names a text: an id can stand for several.
     banded = distinct.select("digest", F.posexplode("keys").alias("band", "key"))
     first = banded.groupBy("band", "key").agg(F.min("digest").alias("a"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    links = banded.join(first, ["band", "key"]).filter(F.col("digest") > F.col("a")).select("a", F.col("digest").alias("b"))
+    links = salted_join(banded, first, ["band", "key"], ["digest"]).filter(F.col("digest") > F.col("a")).select("a", F.col("digest").alias("b"))
     groups = components(links, "near-links")
     members = groups.union(groups.select(F.col("comp").alias("node"), "comp").distinct())
-    classes = _verify(rows, distinct, members, idf, shingle, threshold, most_texts)
+    classes = _verify(rows, distinct, members, weights, shingle, threshold, block_bytes)
     of_text = distinct.join(classes, distinct["digest"] == classes["node"], "left").select("digest", F.coalesce("cls", "digest").alias("cls"))
     of_row = salted_join(worded.select("doc_id", "th", "digest"), of_text, "digest", ["doc_id"])
     sizes = of_row.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th")).alias("first"))
@@ -261,22 +314,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.ndarray, shingle: int, threshold: float, most: int) -> DataFrame:
+def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, weights: Weights, shingle: int, threshold: float, most: int) -> DataFrame:
     """(node, cls) for the texts of candidate components."""
 
     def expand(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
-        for batch in batches:
-            found = [weighted_shingles(words_of(t), hashes, idf, shingle) for t in binary_column(batch, "text")]
+        for batch in slices(batches):
+            found = [weights.shingles(words_of(t), shingle) for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())],
                 ["node", "comp", "s", "w"],
             )
 
     def link(key, pdf):
-        pdf = pdf.drop_duplicates("node").sort_values("node")
+        pdf = pdf.sort_values("node")
         sets, weights = [np.frombuffer(s, np.uint64) for s in pdf["s"]], [np.frombuffer(w, np.float32) for w in pdf["w"]]
         found = link_group(pdf["node"].tolist(), sets, weights, threshold)
         return pd.DataFrame({"node": [a for a, _ in found], "comp": pdf["comp"].iloc[0], "cls": [b for _, b in found]})
@@ -285,10 +337,12 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
     placed = members.join(distinct.select(F.col("digest").alias("node"), "rep", "th"), "node")
     once = placed.select(F.col("rep").alias("doc_id"), "th", "node", "comp")
     with_text = join_rows(rows.withColumn("th", F.xxhash64("text")), once, "inner", hash_right=True).select("node", "comp", "text")
+    with_text = with_text.dropDuplicates(["node"])  # of rows that repeat both id and text
+    size = F.length("s") + F.length("w")
     sets = cut(with_text.mapInArrow(expand, f"node {kind}, comp {kind}, s binary, w binary"), "near-sets")
     live, mapping, first_sizes = sets, None, None
     while True:
-        sizes = cut(live.groupBy("comp").agg(F.ceil(F.countDistinct("node") / F.lit(most)).cast("int").alias("blocks")), "near-sizes")
+        sizes = cut(live.groupBy("comp").agg(F.ceil(F.sum(size) / F.lit(most)).cast("int").alias("blocks")), "near-sizes")
         first_sizes = sizes if first_sizes is None else first_sizes
         blocked = live.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         found = cut(blocked.groupBy("comp", "block").applyInPandas(link, f"node {kind}, comp {kind}, cls {kind}"), "near-classes")
@@ -311,10 +365,11 @@ def _verify(rows: DataFrame, distinct: DataFrame, members: DataFrame, idf: np.nd
 def _across_blocks(sets: DataFrame, mapping: DataFrame, large: DataFrame, threshold: float, most: int) -> DataFrame:
     """Merge classes of large components by the links between their blocks."""
     kind = mapping.schema["node"].dataType.simpleString()
-    counts = mapping.join(large, "comp").groupBy("comp", "blocks", "cls").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("comp", "blocks").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("n").alias("total"), F.max("n").alias("held"))
-    largest = largest.withColumn("askers", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("held")) / F.lit(most))).cast("int"))
-    placed = sets.dropDuplicates(["node"]).join(mapping.select("node", "cls"), "node").join(largest, "comp")
+    placed = sets.join(mapping.select("node", "cls"), "node").join(large, "comp").withColumn("size", F.length("s") + F.length("w"))
+    counts = placed.groupBy("comp", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    largest = counts.groupBy("comp").agg(F.max_by("cls", F.struct("n", "cls")).alias("top"), F.sum("size").alias("total"), F.max_by("size", F.struct("n", "cls")).alias("held"))
+    largest = largest.select("comp", "top", F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("held")) / F.lit(most))).cast("int").alias("askers"))
+    placed = placed.join(largest, "comp")
     own = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("asks", F.lit(False))
     asking = placed.filter(F.col("cls") != F.col("top")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asking = asking.withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers")).cast("int")).withColumn("asks", F.lit(True))

@@ -36,7 +36,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+    """Appends to the ledger that the session names, so that a later run scans new
+    blobs only; a session that names none starts with an empty one."""
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"), spark.conf.get(LEDGER_SETTING, None))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+LEDGER_SETTING = "spark.lodestone.secretLedger"
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -109,17 +113,17 @@ def _licenses_sql() -> str:
         words = phrase.split()
         test = " AND ".join(f"w[i + {j + 1}] = '{x}'" for j, x in enumerate(words))
         phrases.append(f"SELECT doc_id, '{label}' AS label, i FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {len(words) - 1}, 0))) AS i FROM d) WHERE {test}")
-    for label, words in licenses.TEMPLATES:
-        templates.append(f"SELECT '{label}' AS label, {sorted(set(words.split()))!r} AS t")
-    line_words = WORDS.replace("coalesce(text, '')", "line")
+    for no, label, words, need, width in licenses.plan_of(licenses.TEMPLATES, 0.85):
+        templates.append(f"SELECT {no} AS no, '{label}' AS label, {words!r} AS t, {need} AS need, {width} AS width")
     return f"""
 WITH d AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
 places AS ({" UNION ALL ".join(phrases)}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-lines AS (SELECT DISTINCT doc_id, list_distinct({line_words}) AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d)),
 templates AS ({" UNION ALL ".join(templates)}),
-hits AS (SELECT doc_id, label, len(list_intersect(w, t)) AS shared, len(t) AS n FROM lines, templates),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / n) AS best FROM hits WHERE shared >= ceil(0.8 * n - 1e-9) GROUP BY doc_id)
+able AS (SELECT doc_id, w, label, t, need, least(width, len(w)) AS width FROM d, templates WHERE len(list_intersect(w, t)) >= need),
+blocks AS (SELECT doc_id, label, t, need, w[i + 1:i + width] AS w FROM (SELECT *, unnest(range(0, len(w) - width + 1)) AS i FROM able)),
+hits AS (SELECT doc_id, label, len(list_intersect(w, t)) AS shared, len(t) AS n, need FROM blocks),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(shared / n) AS best FROM hits WHERE shared >= need GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.z AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, salted_join
+from ._shared import lower_ascii, salted_join, shared_path
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 # The base rules in their order, then the rules this method adds.
 NAMES = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -26,8 +26,9 @@ RULES = (
     ("access", "AKIA[A-Z0-9]+", 18, 0, ("akia",)),
     ("hex", "[0-9a-f]{16,}", 16, 0, ()),
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0, ("private key",)),
-    ("jwt", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 20, 0, ("eyj",)),
-    ("urlauth", "[a-z]+://[^\\x00-\\x20/:@]+:[^\\x00-\\x20/:@]+@", 8, 0, ("://",)),
+    # Bounded at the front: an unbounded run would be scanned again from each of its characters.
+    ("jwt", "eyJ[A-Za-z0-9_-]{1,300}[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 20, 0, ("eyj",)),
+    ("urlauth", "[a-z]{1,20}://[^\\x00-\\x20/:@]+:[^\\x00-\\x20/:@]+@", 8, 0, ("://",)),
 )
 BASE = ("assign", "access", "hex")
 
@@ -100,18 +101,39 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings of every path (input row), scanning only what ``ledger`` lacks.
+LEDGER = "blob binary, rule_version string, found array<struct<start:bigint,ord:int,kind:string,end:bigint>>"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows: those of all runs that appended to it; none if the path
+    does not exist yet."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Findings of every path (input row), scanning only what the ledger lacks.
+
+    ``ledger`` is a folder of Parquet files in storage that all executors share.
+    The blobs that it lacks under this rule version are scanned and appended
+    first; then its findings are joined back to all paths.  Without a folder the
+    ledger starts empty, in the cluster's shared folder, and goes with the
+    session.  Two runs at once may append a blob twice; it counts once.
 
     Returns one row per input row: doc_id, n_assign, n_access, n_hex,
     base_sha256 and spans (kind:start:end by start, then rule order,
     comma-joined; code points, end exclusive).  A null text counts as empty,
-    repeated rows each get their row, an empty table gives an empty result.
+    repeated rows and rows with a null id each get their row, other columns are
+    ignored whatever their names, an empty table gives an empty result.  Texts
+    may be long: no pattern scans a character more than a few hundred times.
     """
-    entries = update_ledger(docs, ledger, rule_version, id_col, text_col)
-    if ledger is not None:
-        entries = entries.unionByName(ledger.filter(F.col("rule_version") == rule_version).select(*entries.columns))
-    found = entries.filter(F.size("found") > 0).select("blob", "found")
+    spark = docs.sparkSession
+    path = ledger or shared_path(spark, "secret-ledger")
+    update_ledger(docs, read_ledger(spark, path), rule_version, id_col, text_col).write.mode("append").parquet(path)
+    known = read_ledger(spark, path).filter((F.col("rule_version") == rule_version) & (F.size("found") > 0))
+    found = known.groupBy("blob").agg(F.first("found").alias("found"))
     paths = keyed(docs, id_col, text_col).select("doc_id", "blob")
     joined = salted_join(paths, found, "blob", ["doc_id"], how="left")
     spans = F.coalesce("found", F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>"))

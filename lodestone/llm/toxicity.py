@@ -1,10 +1,12 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its byte 3- to 8-grams (with its boundaries marked),
+A word is the bag of its byte 2- to 5-grams (with its boundaries marked),
 each an embedding in a hashed table; a passage is the average over its words; a
 linear softmax over two classes reads the average.  Table and softmax are
-trained jointly, in numpy, so that an unseen misspelling shares most vectors
-with the word it distorts.  A text's score is that of its most toxic passage.
+trained jointly, in numpy, so that an unseen misspelling shares vectors with the
+word it distorts; a copy of the training texts with edited words puts weight on
+the n-grams that an edit leaves.  A text's score is that of its most toxic
+passage: over a long text the average would drown a few words.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import binary_column, held_out, small_batches, texts, words_of
+from ._shared import binary_column, held_out, slices, texts, words_of
 
 BUCKETS = 1 << 17
-GRAMS = (3, 4, 5, 6, 7, 8)
+GRAMS = (2, 3, 4, 5)
 DIM = 8
 PASSAGE = 60
 LEAST = 12  # a shorter passage is filled up with empty words
@@ -30,6 +32,19 @@ def bag_of(text: bytes | None) -> list[bytes]:
     return [w for w, _ in groupby(words_of(text))]
 
 
+def edited(words: list[bytes], rng: np.random.Generator, share: float = 0.9) -> list[bytes]:
+    """The words with one random edit in about ``share`` of the longer ASCII ones:
+    a character dropped, put in, replaced, or two swapped."""
+    draws = rng.random((len(words), 4))
+    out = []
+    for w, (pick, where, kind, letter) in zip(words, draws.tolist()):
+        if len(w) > 3 and w.isascii() and pick < share:
+            i, c = int(where * len(w)), b"abcdefghijklmnopqrstuvwxyz0134"[int(letter * 30) :][:1]
+            w = (w[:i] + w[i + 1 :], w[:i] + c + w[i:], w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :])[int(kind * 4)]
+        out.append(w)
+    return out
+
+
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, one after the other, and how many each has."""
     joined = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint32)
@@ -101,7 +116,7 @@ class Softmax:
         return score
 
 
-def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = None, epochs: int = 9, steps: int = 60, seed: int = 11, rate: float = 0.05, damp: float = 1e-5, min_texts: int = 3, min_share: float = 0.01) -> Softmax:
+def train(words: list[list[bytes]], toxic: np.ndarray, prior: float | None = None, epochs: int = 10, steps: int = 60, seed: int = 11, rate: float = 0.05, damp: float = 1e-5, min_texts: int = 3, min_share: float = 0.01) -> Softmax:
     """Joint training of embeddings and softmax by Adam on balanced batches.
 
     Early epochs draw passages of either class under their text's label; later
@@ -228,7 +243,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one: dict[bytes, bytes] = {}
     bags = [[one.setdefault(w, w) for w in bag_of(text)] for _, text, _ in found]
     del found
-    return train(bags, labels_of, counts.get(1, 0) / max(1, sum(counts.values())))
+    rng = np.random.default_rng(13)
+    bags += [edited(bag, rng) for bag in bags]
+    return train(bags, np.concatenate([labels_of, labels_of]), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_toxicity(docs: DataFrame, model: Softmax, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.3) -> DataFrame:
@@ -236,16 +253,17 @@ def score_toxicity(docs: DataFrame, model: Softmax, id_col: str = "doc_id", text
 
     Returns one row per input row: doc_id, held_out, score (0 to 1), predicted
     (1 if score >= ``cutoff``).  Null and wordless texts get the score of an
-    average of nothing.  An empty table gives an empty result.
+    average of nothing.  Repeated rows and rows with a null id each get their
+    row; other columns are ignored whatever their names; an empty table gives an
+    empty result; a very long text is scored whole, passage by passage.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def score(batches):
         import pyarrow as pa
 
         run = model.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             found = run([bag_of(t) for t in binary_column(batch, "text")])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= cutoff).astype(np.int32), pa.int32())],
