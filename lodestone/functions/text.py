@@ -12,7 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters folded to ASCII, in pairs.
-QUOTES_FROM, QUOTES_TO = "‘’‛ʼ“”‟–—‑−\u00a0", "''''" + 3 * "\"" + "---- "
+QUOTES_FROM, QUOTES_TO = "’‘“”–—\u00a0", "''" + 2 * "\"" + "-- "
+
+# Markdown that a quote may lack and its page have, in the order of removal.
+IMAGE = "!\\[[^\\]]*\\]\\([^)]*\\)"
+LINK = "\\[([^\\]]*)\\]\\((?:[^()]++|\\([^)]*\\))*+\\)"
+LIST_MARK = "(^|\\n)\\s*(?:[-*•]|[0-9]+\\.)\\s+"
+ESCAPE = "(?s)\\\\(.)"
+SHORTEST_QUOTE = 12
 
 YEAR = "(19[5-9][0-9]|20[0-3][0-9])"
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
@@ -29,20 +36,35 @@ def squeeze(text: Column) -> Column:
 
 
 def containment_form(text: Column) -> Column:
-    """The form in which a quote must stand in its page: quotes folded, markdown
-    emphasis and links unwrapped, blanks squeezed, lower case."""
-    plain = F.regexp_replace(fold_quotes(text), "\\[([^\\]]*)\\]\\([^)]*\\)", "$1")
-    return F.lower(squeeze(F.regexp_replace(plain, "[*_`#>]", "")))
+    """The form in which a quote must stand in its page: quotes folded, images,
+    link targets, list marks, escapes and emphasis gone, blanks squeezed, lower
+    case.  Unicode compatibility forms are folded before (``normalise_nfkc``)."""
+    out = F.regexp_replace(fold_quotes(text), IMAGE, " ")
+    out = F.regexp_replace(F.regexp_replace(out, LINK, "$1"), LIST_MARK, "$1")
+    out = F.replace(F.regexp_replace(out, ESCAPE, "$1"), F.lit("\\"), F.lit(""))
+    return F.lower(squeeze(F.regexp_replace(F.regexp_replace(out, "[*_`]", ""), "[#>|\\[\\]]", " ")))
+
+
+def extraction_form(text: Column) -> Column:
+    """The plainer form that extraction checks its own quotes in: quotes folded,
+    every markdown character gone, links with their targets as they stand."""
+    return F.lower(squeeze(F.regexp_replace(fold_quotes(text), "[*_`#>|\\\\\\[\\]]", "")))
+
+
+def letters_and_digits(form: Column) -> Column:
+    """Runs of other characters than a-z and 0-9 as one blank."""
+    return F.trim(F.regexp_replace(form, "[^a-z0-9]+", " "))
 
 
 def alnum_form(text: Column) -> Column:
     """Lower-case ASCII letters and digits, other runs as one blank."""
-    return F.trim(F.regexp_replace(F.lower(fold_quotes(text)), "[^a-z0-9]+", " "))
+    return letters_and_digits(F.lower(fold_quotes(text)))
 
 
 def merge_key(text: Column) -> Column:
-    """Letters and digits only: statements equal under it are one statement."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    """Statements equal under it are one statement: words in lower case, one blank
+    for whatever lies between them."""
+    return alnum_form(text)
 
 
 def dedupe_key(text: Column, size: int = 200) -> Column:
@@ -68,6 +90,17 @@ def shingles(tokens: Column, size: int = 5) -> Column:
     return runs
 
 
+def gram_hashes(tokens: Column, size: int = 5) -> Column:
+    """A 64-bit hash of every run of ``size`` tokens: candidates only, since two
+    runs may share one."""
+    many = F.greatest(F.size(tokens) - (size - 1), F.lit(0))
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
+    runs = F.slice(hashes, F.lit(1), many)
+    for shift in range(1, size):
+        runs = F.zip_with(runs, F.slice(hashes, F.lit(shift + 1), many), lambda a, b: F.xxhash64(a, b))
+    return runs
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Overlap coefficient of two arrays as sets; 0 if either is empty."""
     small = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))

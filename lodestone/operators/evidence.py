@@ -6,53 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .claims import normalise_nfkc
 
 
 def verify_status(quote: Column, page: Column) -> Column:
-    """How a quote stands in its page: too_short, exact, exact_words (letters and
-    digits), near (85% of its five-word runs, six words or more), failed."""
+    """How a quote stands in its page: too_short (under 12 characters), exact,
+    exact_words (its letters and digits, 12 characters or more, whatever lies
+    between), near (85% of its five-word runs, six words or more), failed."""
     q, p = T.containment_form(quote), T.containment_form(page)
-    qw, pw = T.alnum_form(quote), T.alnum_form(page)
-    grams = T.shingles(F.split(qw, " "), 5)
-    return status_of(q, p, qw, pw, grams)
-
-
-def status_of(q: Column, p: Column, qw: Column, pw: Column, grams: Column) -> Column:
-    """``verify_status`` on forms that are columns already: the page's words are
-    then folded once for each page, not once for each run of the quote."""
-    near = (F.size(F.split(qw, " ")) >= 6) & (F.size(F.filter(grams, lambda g: F.contains(pw, g))) * 100 >= F.size(grams) * 85)
-    return (
-        F.when(F.length(q) < 12, "too_short").when(p.contains(q), "exact")
-        .when((qw != "") & pw.contains(qw), "exact_words").when(near, "near").otherwise("failed")
-    )
+    return status_of(q, p, T.letters_and_digits(q), T.letters_and_digits(p))
+
+
+def status_of(q: Column, p: Column, qw: Column | None, pw: Column | None) -> Column:
+    """``verify_status`` on forms; without letter-and-digit forms (the rule of
+    extraction) there is no exact_words."""
+    grams = T.shingles(F.split(q, " "), 5)
+    near = (F.size(F.split(q, " ")) >= 6) & (F.size(F.filter(grams, lambda g: F.contains(p, g))) * 100 >= F.size(grams) * 85)
+    out = F.when(F.length(q) < T.SHORTEST_QUOTE, "too_short").when(p.contains(q), "exact")
+    if qw is not None:
+        out = out.when((F.length(qw) >= T.SHORTEST_QUOTE) & pw.contains(qw), "exact_words")
+    return out.when(near, "near").otherwise("failed")
 
 
 def verify_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, page_id, status) for every pair that shares a five-word run.
-    Only pages of some pair are folded, before they meet their quotes."""
+    """(quote_id, page_id, status, extract_status) for every pair that shares a
+    five-word run, by the rule of publishing and by that of extraction.  Only
+    pages of some pair are folded, before they meet their quotes."""
     pairs = candidate_pages(quotes, pages)
-    p = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select(
-        "page_id", T.containment_form(F.col("text")).alias("p"), T.alnum_form(F.col("text")).alias("pw"))
-    words = T.alnum_form(F.col("quote"))
-    q = quotes.select("quote_id", T.containment_form(F.col("quote")).alias("q"), words.alias("qw"), T.shingles(F.split(words, " "), 5).alias("grams"))
+    p = pages.join(pairs.select("page_id").distinct(), "page_id", "left_semi").select("page_id", normalise_nfkc(F.col("text")).alias("text"))
+    p = p.select("page_id", T.containment_form(F.col("text")).alias("p"), T.extraction_form(F.col("text")).alias("pe")).withColumn("pw", T.letters_and_digits(F.col("p")))
+    q = quotes.select("quote_id", normalise_nfkc(F.col("quote")).alias("quote"))
+    q = q.select("quote_id", T.containment_form(F.col("quote")).alias("q"), T.extraction_form(F.col("quote")).alias("qe")).withColumn("qw", T.letters_and_digits(F.col("q")))
     joined = pairs.join(p, "page_id").join(q, "quote_id")
-    return joined.select("quote_id", "page_id", status_of(*[F.col(c) for c in ("q", "p", "qw", "pw", "grams")]).alias("status"))
+    return joined.select("quote_id", "page_id", status_of(F.col("q"), F.col("p"), F.col("qw"), F.col("pw")).alias("status"),
+                         status_of(F.col("qe"), F.col("pe"), None, None).alias("extract_status"))
 
 
 def candidate_pages(quotes: DataFrame, pages: DataFrame, size: int = 5) -> DataFrame:
     """(quote_id, page_id) pairs that share a run of ``size`` words: an equi-join
-    of shingles in place of a containment join of all pairs."""
-    q = quotes.select("quote_id", F.explode(F.array_distinct(T.shingles(T.words("quote"), size))).alias("gram"))
-    p = pages.select("page_id", F.explode(T.shingles(T.words("text"), size)).alias("gram"))
+    of hashed runs in place of a containment join of all pairs."""
+    q = quotes.select("quote_id", F.explode(F.array_distinct(T.gram_hashes(T.words("quote"), size))).alias("gram"))
+    p = pages.select("page_id", F.explode(T.gram_hashes(T.words("text"), size)).alias("gram"))
     return p.join(q, "gram").select("quote_id", "page_id").distinct()
 
 
-def merge_statements(rows: DataFrame, code: str, statement: str, source: str, order: str) -> DataFrame:
+def merge_statements(rows: DataFrame, code: str, statement: str, source: str, order: list[str]) -> DataFrame:
     """One row per (code, statement under its merge key): the first record, its
     sources sorted and counted."""
     keyed = rows.withColumn("merge_key", T.merge_key(F.col(statement))).filter(F.col("merge_key") != "")
     return keyed.groupBy(code, "merge_key").agg(
-        F.min_by(statement, order).alias("statement"), F.min(order).alias("first_seen"),
+        F.min_by(statement, F.struct(*order)).alias("statement"), F.min(order[0]).alias("first_seen"),
         F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources"), F.count(F.lit(1)).alias("n_records"),
     )
 

@@ -27,6 +27,26 @@ def mean_pairwise_jaccard(rows: DataFrame, profile: str, category: str, unit: st
         "category", F.round(F.coalesce("s", F.lit(0.0)) / F.col("pairs"), 6).alias("mean_jaccard"))
 
 
+def shared_word_strength(rows: DataFrame, key: str, words: str, weight: str, most_words: int = 12) -> DataFrame:
+    """Each row's weight plus that of every other row that shares a word with it.
+
+    With W(S) the weight of all rows that hold every word of S, the weight of the
+    rows that share a word is the sum of W(S) over all sets S of the row's words,
+    odd sizes added, even ones subtracted.  A row gives 2**words - 1 sets, so no
+    word, however common, pairs its holders; rows of more than ``most_words``
+    words are an error."""
+    n = F.size(words)
+    guarded = F.when(n <= most_words, n).otherwise(F.raise_error(F.lit(f"more than {most_words} words")).cast("int"))
+    masks = F.when(n > 0, F.sequence(F.lit(1), F.shiftleft(F.lit(1), most_words) - 1)).otherwise(F.array().cast("array<int>"))
+    masks = F.slice(masks, F.lit(1), F.pow(F.lit(2), guarded).cast("int") - 1)
+    sets = F.transform(masks, lambda m: F.filter(F.col(words), lambda w, i: m.bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(most_words)]), i + 1)) != 0))
+    held = rows.select(key, F.col(weight).alias("w"), F.explode(sets).alias("s"))
+    total = held.groupBy("s").agg(F.sum("w").alias("total"))
+    sign = F.when(F.size("s") % 2 == 1, 1).otherwise(-1)
+    near = held.join(total, "s").groupBy(key).agg(F.sum(sign * F.col("total")).alias("near"))
+    return rows.join(near, key, "left").select(*rows.columns, F.coalesce("near", F.col(weight)).cast("long").alias("strength"))
+
+
 def compare_runs(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Rows of two runs: kept, changed, added and gone, by one full outer join."""
     a = old.select(F.col(key).alias("k"), F.col(value).alias("v_old"), F.lit(True).alias("in_old"))

@@ -88,8 +88,14 @@ def support(bullets: DataFrame, cites: DataFrame, facts: DataFrame) -> DataFrame
 
 
 def joint_caps(rows: DataFrame, code: str, order: str, unit: str, caps: dict[str, int], limit: int) -> DataFrame:
-    """The best ``limit`` rows of each category with all caps at once; rows past
-    the widest reach of a single cap cannot be chosen and leave by a window."""
+    """The best ``limit`` rows of each category with all caps at once.
+
+    Caps only fill, so of the rows that agree in every capped column those after
+    the first min(caps) are refused: had one a seat, those before it would have
+    filled that cap.  They leave by a window; the rest is one scan in order."""
+    kept = rows.select(code, unit, order, *caps)
+    cell = Window.partitionBy(code, *caps).orderBy(F.desc(order), unit)
+    kept = kept.withColumn("__place", F.row_number().over(cell)).filter(F.col("__place") <= min(caps.values())).drop("__place")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict = {}
@@ -103,12 +109,20 @@ def joint_caps(rows: DataFrame, code: str, order: str, unit: str, caps: dict[str
         return pd.DataFrame({code: pdf[code].iloc[0], unit: out, "seat": range(1, len(out) + 1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(code, unit, order, *caps).groupBy(code).applyInPandas(pick, f"{code} {kinds[code]}, {unit} {kinds[unit]}, seat int")
+    return kept.groupBy(code).applyInPandas(pick, f"{code} {kinds[code]}, {unit} {kinds[unit]}, seat int")
 
 
 def seats_by_round(candidates: DataFrame, each: int, total: int) -> DataFrame:
     """Round-robin seats: the i-th best candidate of every artefact in turn, each
-    entity once, at most ``each`` per chapter and ``total`` in all."""
+    entity once, at most ``each`` per chapter and ``total`` in all.
+
+    Of an artefact's candidates in one chapter only the first of each entity and
+    of those the first ``total`` can get a seat: a later one would need all of
+    those entities seated, which fills the total.  The others leave by windows."""
+    entity = Window.partitionBy("student", "artefact", "chapter", "entity").orderBy("place", "unit")
+    chapter = Window.partitionBy("student", "artefact", "chapter").orderBy("place", "unit")
+    candidates = candidates.withColumn("rn", F.row_number().over(entity)).filter("rn = 1")
+    candidates = candidates.withColumn("rn", F.row_number().over(chapter)).filter(F.col("rn") <= total).drop("rn")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, per_chapter, entities = [], {}, set()

@@ -21,19 +21,30 @@ def budget_fill(rows: DataFrame, group: str, order: list[Column], cost: str, bud
     return placed.withColumn("spent", F.round(spent, 2)).filter(F.col("spent") <= budget)
 
 
+def ranks_within(rows: DataFrame, parts: list[str], order: str, width: int = 65_536) -> DataFrame:
+    """``place``: 1-based ranks of each part in order of an integral column without
+    repeats there.  Counts of each stretch of ``width`` values give the offsets, so
+    no part is sorted in one task."""
+    placed = rows.withColumn("stretch", F.floor(F.col(order) / width).cast("long"))
+    counts = placed.groupBy(*parts, "stretch").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*parts).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*parts, "stretch", F.coalesce(before, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy(*parts, "stretch").orderBy(order))
+    return placed.join(offsets, [*parts, "stretch"]).withColumn("place", (F.col("offset") + within).cast("long")).drop("stretch", "offset")
+
+
 def round_robin(rows: DataFrame, item: str, order: str, size: int) -> DataFrame:
     """Batches by rounds: the i-th row of every item belongs to round i; a round
     is cut into batches of ``size`` and its last batch is not filled up."""
     turn = F.row_number().over(Window.partitionBy(item).orderBy(order))
-    rounds = rows.withColumn("round", turn.cast("long"))
-    pos = F.row_number().over(Window.partitionBy("round").orderBy(item))
-    return rounds.withColumn("batch", F.floor((pos - 1) / size).cast("long"))
+    rounds = ranks_within(rows.withColumn("round", turn.cast("long")), ["round"], item)
+    return rounds.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("place")
 
 
 def fixed_batches(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:
     """Batches of ``size`` within each part, in order."""
-    pos = F.row_number().over(Window.partitionBy(part).orderBy(order))
-    return rows.withColumn("batch", F.floor((pos - 1) / size).cast("long")).withColumn("index", ((pos - 1) % size).cast("long"))
+    placed = ranks_within(rows, [part], order)
+    return placed.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).withColumn("index", ((F.col("place") - 1) % size).cast("long")).drop("place")
 
 
 def active_minutes(log: DataFrame, key: str, ts: str, gap_seconds: int = 600) -> DataFrame:

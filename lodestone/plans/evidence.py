@@ -47,13 +47,18 @@ def quote_verify(spark, d):
 
 
 def quote_verify_counts(spark, d):
-    return quote_verify(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("quote_id").alias("n_quotes"))
+    return quote_verify(spark, d).groupBy("status", "extract_status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("quote_id").alias("n_quotes"))
+
+
+def statement_lines(spark, d):
+    """Every line of every document as a statement."""
+    lines = table(spark, d, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "statement"))
+    return lines.withColumn("statement", F.trim("statement"))
 
 
 def fact_merge(spark, d):
-    docs = table(spark, d, "documents").withColumn("statement", F.substring("text", 1, 120))
-    merged = E.merge_statements(docs, "lang", "statement", "source", "doc_id")
-    return merged.select("lang", "merge_key", "statement", "first_seen", "sources", "n_records")
+    merged = E.merge_statements(statement_lines(spark, d), "lang", "statement", "source", ["doc_id", "pos"])
+    return merged.select("lang", F.md5("merge_key").alias("key_md5"), F.md5("statement").alias("statement_md5"), "first_seen", "sources", "n_records")
 
 
 def dedupe_key_groups(spark, d):
@@ -132,8 +137,21 @@ QUERIES = {f.__name__: f for f in (
     boilerplate_lines, clean_pages, host_page_stats, coverage_by_category, recall_items, freshness_rate, shingle_overlap,
     email_redaction, sentence_restatement, restriction_tags)}
 
-_FOLD = "translate({}, '‘’‛ʼ“”‟–—‑−' || chr(160), '''''''''\"\"\"---- ')"
-_CONTAIN = "lower(trim(regexp_replace(regexp_replace(regexp_replace(" + _FOLD + r", '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`#>]', '', 'g'), '[ \t\r\n\f\x0B]+', ' ', 'g')))"
+_FOLD = "translate({}, '’‘“”–—' || chr(160), '''''\"\"-- ')"
+_SPACE = r"trim(regexp_replace({}, '[ \t\r\n\f\x0B]+', ' ', 'g'))"
+
+
+def _replace(sql, *steps):
+    for pattern, to in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
+    return sql
+
+
+_CONTAIN = "lower(" + _SPACE.format(_replace("replace(" + _replace(
+    _FOLD, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\(([^()]|\([^)]*\))*\)", r"\1"), (r"(^|\n)\s*([-*•]|[0-9]+\.)\s+", r"\1"), (r"(?s)\\(.)", r"\1"),
+) + r", '\', '')", ("[*_`]", ""), (r"[#>|\[\]]", " "))) + ")"
+_EXTRACT = "lower(" + _SPACE.format(_replace(_FOLD, (r"[*_`#>|\\\[\]]", ""))) + ")"
+_PLAIN = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
 _ALNUM = "trim(regexp_replace(lower(" + _FOLD + "), '[^a-z0-9]+', ' ', 'g'))"
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _GRAMS = "list_transform(range(1, greatest(len({0}) - 3, 1)), lambda i: array_to_string({0}[i:i + 4], ' '))"
@@ -146,11 +164,14 @@ pg AS (SELECT DISTINCT page_id, unnest({_GRAMS.format('w')}) AS g FROM p),
 pairs AS (SELECT DISTINCT quote_id, page_id FROM qg JOIN pg USING (g))"""
 _STATUS = f"""
 forms AS (SELECT quote_id, page_id, {_CONTAIN.format('quote')} AS cq, {_CONTAIN.format('p.text')} AS cp,
-  {_ALNUM.format('quote')} AS aq, {_ALNUM.format('p.text')} AS ap FROM pairs JOIN q USING (quote_id) JOIN p USING (page_id)),
-runs AS (SELECT *, string_split(aq, ' ') AS aw, {_GRAMS.format("string_split(aq, ' ')")} AS g FROM forms),
+  {_EXTRACT.format('quote')} AS eq, {_EXTRACT.format('p.text')} AS ep FROM pairs JOIN q USING (quote_id) JOIN p USING (page_id)),
+runs AS (SELECT *, {_PLAIN.format('cq')} AS aq, {_PLAIN.format('cp')} AS ap, string_split(cq, ' ') AS cw, {_GRAMS.format("string_split(cq, ' ')")} AS cg,
+  string_split(eq, ' ') AS ew, {_GRAMS.format("string_split(eq, ' ')")} AS eg FROM forms),
 status AS (SELECT quote_id, page_id, CASE WHEN length(cq) < 12 THEN 'too_short' WHEN contains(cp, cq) THEN 'exact'
-  WHEN aq <> '' AND contains(ap, aq) THEN 'exact_words'
-  WHEN len(aw) >= 6 AND len(list_filter(g, lambda x: contains(ap, x))) * 100 >= len(g) * 85 THEN 'near' ELSE 'failed' END AS status FROM runs)"""
+  WHEN length(aq) >= 12 AND contains(ap, aq) THEN 'exact_words'
+  WHEN len(cw) >= 6 AND len(list_filter(cg, lambda x: contains(cp, x))) * 100 >= len(cg) * 85 THEN 'near' ELSE 'failed' END AS status,
+  CASE WHEN length(eq) < 12 THEN 'too_short' WHEN contains(ep, eq) THEN 'exact'
+  WHEN len(ew) >= 6 AND len(list_filter(eg, lambda x: contains(ep, x))) * 100 >= len(eg) * 85 THEN 'near' ELSE 'failed' END AS extract_status FROM runs)"""
 _YEARS = r"list_max(list_transform(regexp_extract_all({}, '(19[5-9][0-9]|20[0-3][0-9])'), lambda y: CAST(y AS INTEGER)))"
 _LINES = """
 lines AS (SELECT DISTINCT source, doc_id, trim(line) AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -171,12 +192,12 @@ ORACLES = {
     "candidate_prefilter": """SELECT doc_id, lang, source FROM documents WHERE length(text) >= 40 AND lang IN ('en', 'de')
   AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "marker_gate": f"SELECT doc_id, {_any(MARKERS)} AND NOT {_any(RESCUE)} AS gated FROM (SELECT doc_id, translate(lower(text), '’ʼ', '''''') AS t FROM documents)",
-    "quote_verify": f"WITH {_BOUND}, {_STATUS} SELECT quote_id, page_id, status FROM status",
-    "quote_verify_counts": f"WITH {_BOUND}, {_STATUS} SELECT status, count(*) AS n, count(DISTINCT quote_id) AS n_quotes FROM status GROUP BY status",
-    "fact_merge": """SELECT lang, merge_key, arg_min(s, doc_id) AS statement, min(doc_id) AS first_seen,
+    "quote_verify": f"WITH {_BOUND}, {_STATUS} SELECT quote_id, page_id, status, extract_status FROM status",
+    "quote_verify_counts": f"WITH {_BOUND}, {_STATUS} SELECT status, extract_status, count(*) AS n, count(DISTINCT quote_id) AS n_quotes FROM status GROUP BY ALL",
+    "fact_merge": f"""WITH l AS (SELECT doc_id, lang, source, pos, trim(l[pos]) AS s FROM (SELECT *, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents))
+SELECT lang, md5(k) AS key_md5, md5(arg_min(s, doc_id * 1000000 + pos)) AS statement_md5, min(doc_id) AS first_seen,
   array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS n_records
-  FROM (SELECT *, substr(text, 1, 120) AS s, regexp_replace(lower(substr(text, 1, 120)), '[^a-z0-9]', '', 'g') AS merge_key FROM documents)
-  WHERE merge_key <> '' GROUP BY lang, merge_key""",
+  FROM (SELECT *, {_ALNUM.format('s')} AS k FROM l) WHERE k <> '' GROUP BY lang, k""",
     "dedupe_key_groups": f"""SELECT min(doc_id) AS first_doc, count(*) AS n, md5(k) AS key_md5 FROM
   (SELECT doc_id, substr(regexp_replace({_ALNUM.format('text')}, '^[a-z]{{2,5}} ?[0-9]{{1,4}}[a-z]? ', ''), 1, 200) AS k FROM documents) GROUP BY k HAVING count(*) > 1""",
     "boilerplate_lines": f"WITH {_LINES} SELECT host, md5(line) AS line_md5, n_pages, host_pages FROM bad",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources.shared import cut
 from ..sources.tables import table
 
 
@@ -18,14 +19,17 @@ def nodes_of(spark, d):
 
 
 def edges_of(spark, d):
-    at = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
-    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    supplies = lines.select(at("supplier", "l_suppkey").alias("src"), F.lit("SUPPLIES").alias("predicate"), at("part", "l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    buys = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(
-        at("customer", "o_custkey").alias("src"), F.lit("BUYS").alias("predicate"), at("part", "l_partkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
-    lives = table(spark, d, "customer").select(at("customer", "c_custkey").alias("src"), F.lit("IN").alias("predicate"), at("nation", "c_nationkey").alias("dst"), F.col("c_custkey").alias("pos"))
-    based = table(spark, d, "supplier").select(at("supplier", "s_suppkey").alias("src"), F.lit("IN").alias("predicate"), at("nation", "s_nationkey").alias("dst"), F.col("s_suppkey").alias("pos"))
-    return supplies.unionByName(buys).unionByName(lives).unionByName(based)
+    """Edges of all foreign keys; each order line gives two in one scan."""
+    at = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string")).alias
+    edge = lambda a, name, b, pos: F.struct(a("src"), F.lit(name).alias("predicate"), b("dst"), pos.alias("pos"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    bought = lines.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    both = bought.select(F.explode(F.array(edge(at("supplier", "l_suppkey"), "SUPPLIES", at("part", "l_partkey"), pos), edge(at("customer", "o_custkey"), "BUYS", at("part", "l_partkey"), pos))).alias("e"))
+    both = both.select("e.*").filter(F.col("src").isNotNull())
+    lives = table(spark, d, "customer").select(edge(at("customer", "c_custkey"), "IN", at("nation", "c_nationkey"), F.col("c_custkey")).alias("e")).select("e.*")
+    based = table(spark, d, "supplier").select(edge(at("supplier", "s_suppkey"), "IN", at("nation", "s_nationkey"), F.col("s_suppkey")).alias("e")).select("e.*")
+    return both.unionByName(lives).unionByName(based)
 
 
 def graph_nodes(spark, d):
@@ -60,11 +64,13 @@ def graph_reorient(spark, d):
 
 
 def graph_expand_topk(spark, d):
-    """One-hop chains of suppliers that are no hubs."""
-    degree = G.degrees(nodes_of(spark, d), graph_edges_dedup(spark, d))
+    """One-hop chains of suppliers that are no hubs.  Edges and degrees are written
+    once; the threshold, the calm nodes and the chains read them."""
+    edges = cut(graph_edges_dedup(spark, d).select("src", "predicate", "dst"), "edges")
+    degree = cut(G.degrees(nodes_of(spark, d).select("id", "type"), edges), "degrees")
     threshold = G.hub_threshold(degree, times=1, floor=40)
-    anchors = nodes_of(spark, d).filter(F.col("type") == "supplier").select(F.col("id").alias("unit"), F.col("id").alias("node"))
-    out = G.expand(anchors, graph_edges_dedup(spark, d), degree, threshold)
+    anchors = degree.filter(F.col("type") == "supplier").select(F.col("id").alias("unit"), F.col("id").alias("node"))
+    out = G.expand(anchors, edges, degree, threshold)
     return out.select("unit", F.col("rank").cast("long").alias("rank"), "predicate", "direction", "other", "degree")
 
 

@@ -13,7 +13,7 @@ from .retrieval import bm25_topk, dense_topk
 
 def course_json(spark, d):
     """Orders written as nested JSON in markup, parsed back to sections."""
-    lines = table(spark, d, "lineitem").filter(F.col("l_orderkey") <= 3000)
+    lines = table(spark, d, "lineitem")
     section = F.struct(
         F.col("l_linenumber").cast("string").alias("id"), F.col("l_returnflag").alias("type"), F.array(F.col("l_quantity"), F.lit(4.0)).alias("units"),
         F.array(F.lit("Mon"), F.lit("Wed")).alias("days"), F.lit("09:00").alias("start"), F.lit("09:50").alias("end"), F.col("l_linenumber").alias("registered"),
@@ -57,9 +57,13 @@ def gap_seats(spark, d):
     return table(spark, d, "part").select("p_size").distinct().select("p_size", R.gap_slots(F.col("p_size")).cast("long").alias("slots"))
 
 
+QUOTED = '"([^"\\n]+)"'
+
+
 def masked_quotes(spark, d):
-    docs = table(spark, d, "documents").withColumn("spans", F.slice(F.split("text", " "), 1, 2))
-    return docs.filter(F.forall("spans", lambda s: s != "")).select("doc_id", F.md5(R.mask_spans(F.col("text"), F.col("spans"))).alias("masked_md5"))
+    """Every span in double quotes blanked out wherever it stands."""
+    docs = table(spark, d, "documents").withColumn("spans", F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))).filter(F.size("spans") > 0)
+    return docs.select("doc_id", F.size("spans").cast("long").alias("n"), F.md5(R.mask_spans(F.col("text"), F.col("spans"))).alias("masked_md5"))
 
 
 def phone_redaction(spark, d):
@@ -76,11 +80,14 @@ def rephrase_filter(spark, d):
 
 
 def fact_order(spark, d):
-    """Statements by number of sources, then core hosts, then text."""
-    docs = table(spark, d, "documents").withColumn("k", F.substring(T.merge_key(F.col("text")), 1, 20)).filter(F.col("k") != "")
-    g = docs.groupBy("lang", "k").agg(F.countDistinct("source").alias("n_sources"), F.max((F.col("source") == "src0").cast("int")).alias("core"))
+    """Statements (lines) by number of sources, then core hosts, then text: the
+    ten first of each language."""
     from pyspark.sql import Window
 
+    from .evidence import statement_lines
+
+    lines = statement_lines(spark, d).withColumn("k", T.merge_key(F.col("statement"))).filter(F.col("k") != "")
+    g = lines.groupBy("lang", "k").agg(F.countDistinct("source").alias("n_sources"), F.max((F.col("source") == "src0").cast("int")).alias("core"))
     order = Window.partitionBy("lang").orderBy(F.desc("n_sources"), F.desc("core"), "k")
     return g.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= 10).select("lang", "k", "n_sources", "place")
 
@@ -97,22 +104,25 @@ def useful_gate(spark, d):
 
 
 def directory_parse(spark, d):
-    """Documents written as a directory page per source, parsed back to blocks."""
+    """Documents written as directory pages of a source, five hundred ids each,
+    parsed back to blocks."""
     entry = F.concat(F.lit("## [doc "), F.col("doc_id").cast("string"), F.lit("](https://x/"), F.col("doc_id").cast("string"), F.lit(")\nby "), F.col("lang"), F.lit("\n")).alias("e")
-    pages = table(spark, d, "documents").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry))), lambda x: x["e"]), "").alias("page"))
-    return R.directory_blocks(pages, "source", "page").select("source", F.col("pos").cast("long").alias("pos"), "name", "link", "body", "next_name")
+    leaf = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 500).cast("string"))
+    pages = table(spark, d, "documents").groupBy(leaf.alias("leaf")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry))), lambda x: x["e"]), "").alias("page"))
+    return R.directory_blocks(pages, "leaf", "page").select("leaf", F.col("pos").cast("long").alias("pos"), "name", "link", "body", "next_name")
 
 
 QUERIES = {f.__name__: f for f in (
     course_json, prerequisites, entity_resolution, name_matching, kind_quota, bm25_floor, gap_seats, masked_quotes, phone_redaction,
     rephrase_filter, fact_order, useful_gate, directory_parse)}
 
+from .evidence import _ALNUM  # noqa: E402
 from .retrieval import _BM25, _DENSE  # noqa: E402  the SQL of the lists that these queries start from
 
 ORACLES = {
     "course_json": """SELECT 'ORD ' || l_orderkey AS code, CAST(l_linenumber AS VARCHAR) AS id, l_returnflag AS type,
   CASE WHEN l_quantity = 4 THEN '4' ELSE CAST(least(l_quantity, 4) AS BIGINT) || '-' || CAST(greatest(l_quantity, 4) AS BIGINT) END AS units,
-  'Mon/Wed 09:00-09:50' AS schedule, CAST(l_linenumber AS BIGINT) AS registered, 'S ' || l_suppkey AS instructors FROM lineitem WHERE l_orderkey <= 3000""",
+  'Mon/Wed 09:00-09:50' AS schedule, CAST(l_linenumber AS BIGINT) AS registered, 'S ' || l_suppkey AS instructors FROM lineitem""",
     "prerequisites": """WITH g AS (SELECT p_size, p_brand, array_to_string(list_sort(list(DISTINCT CAST(p_partkey AS VARCHAR))), ' or ') AS t FROM part GROUP BY ALL)
 SELECT p_size, md5(string_agg(t, '; ' ORDER BY p_brand)) AS text_md5 FROM g GROUP BY p_size""",
     "entity_resolution": """SELECT p_partkey, CASE WHEN k = 'Brand#1' AND regexp_matches(n, 'almond|azure') THEN 'warm' WHEN k = 'Brand#1' AND regexp_matches(n, 'a') THEN 'any'
@@ -128,13 +138,14 @@ c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY held
 SELECT qid, unit, kind, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM c""",
     "bm25_floor": f"WITH {_BM25} SELECT qid, count(*) AS n FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best FROM words) WHERE score >= 0.5 * best GROUP BY qid",
     "gap_seats": "SELECT DISTINCT p_size, CAST(CASE WHEN p_size <= 2 THEN 0 ELSE greatest(1, least(4, round_even(p_size / 6, 0))) END AS BIGINT) AS slots FROM part",
-    "masked_quotes": """SELECT doc_id, md5(replace(replace(text, w[1], ' '), w[2], ' ')) AS masked_md5 FROM (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents) WHERE len(w) >= 2 AND w[1] <> '' AND w[2] <> ''
-  UNION ALL SELECT doc_id, md5(replace(text, w[1], ' ')) FROM (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents) WHERE len(w) = 1 AND w[1] <> ''""",
+    "masked_quotes": """WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '"([^"\\n]+)"', 1) AS spans FROM documents)
+SELECT doc_id, len(spans) AS n, md5(list_reduce(list_prepend(text, spans), lambda t, x: replace(t, x, ' '))) AS masked_md5 FROM s WHERE len(spans) > 0""",
     "rephrase_filter": """WITH t AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS w FROM conversations), u AS (SELECT * FROM t WHERE len(w) > 0),
 f AS (SELECT conv_id, list_distinct(flatten(list(w))) AS seen FROM u WHERE role = 'assistant' GROUP BY conv_id)
 SELECT conv_id, turn, round(len(list_intersect(w, coalesce(seen, []))) / len(w), 6) AS share, len(list_intersect(w, coalesce(seen, []))) / len(w) > 0.6 AS rephrase FROM u LEFT JOIN f USING (conv_id) WHERE role = 'user'""",
-    "fact_order": """WITH g AS (SELECT lang, k, count(DISTINCT source) AS n_sources, max(CAST(source = 'src0' AS INT)) AS core FROM (SELECT *, substr(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 1, 20) AS k FROM documents) WHERE k <> '' GROUP BY lang, k)
+    "fact_order": f"""WITH l AS (SELECT lang, source, unnest(string_split(text, chr(10))) AS s FROM documents),
+g AS (SELECT lang, k, count(DISTINCT source) AS n_sources, max(CAST(source = 'src0' AS INT)) AS core FROM (SELECT *, {_ALNUM.format('s')} AS k FROM l) WHERE k <> '' GROUP BY lang, k)
 SELECT lang, k, n_sources, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_sources DESC, core DESC, k) AS place FROM g) WHERE place <= 10""",
-    "directory_parse": """SELECT source, row_number() OVER w AS pos, 'doc ' || doc_id AS name, 'https://x/' || doc_id AS link, 'by ' || lang AS body, lead('doc ' || doc_id) OVER w AS next_name
-  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""",
+    "directory_parse": """SELECT leaf, row_number() OVER w AS pos, 'doc ' || doc_id AS name, 'https://x/' || doc_id AS link, 'by ' || lang AS body, lead('doc ' || doc_id) OVER w AS next_name
+  FROM (SELECT *, source || '/' || (doc_id // 500) AS leaf FROM documents) WINDOW w AS (PARTITION BY leaf ORDER BY doc_id)""",
 }

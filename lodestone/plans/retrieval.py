@@ -9,32 +9,32 @@ from ..operators import ranking as R
 from ..operators import windows as W
 from ..sources.tables import spread, table
 
-N_QUERIES, K_WORDS, K_DENSE = 8, 40, 40
+K_WORDS, K_DENSE = 40, 40
 
 
 def query_terms(spark, d):
-    """The first benchmark items as queries: their distinct words of four letters or more."""
-    items = table(spark, d, "benchmark").filter(F.col("item_id") < N_QUERIES)
+    """Every benchmark item as a query: its distinct words of four letters or more."""
+    items = table(spark, d, "benchmark")
     return items.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(T.words(F.col("text"), 4))).alias("term"))
 
 
-def _index(spark, d):
-    return R.postings(spread(table(spark, d, "documents")), "doc_id", {"text": 1.0, "source": 1.5})
+def bm25_topk(spark, d):
+    terms = query_terms(spark, d)
+    index = R.postings(spread(table(spark, d, "documents")), "doc_id", {"text": 1.0, "source": 1.5}, terms, F.length("text") >= 40)
+    return R.bm25(index, terms, K_WORDS).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def bm25_topk(spark, d):
-    allowed = table(spark, d, "documents").filter(F.length("text") >= 40).select(F.col("doc_id").alias("unit"))
-    out = R.bm25(_index(spark, d), query_terms(spark, d), K_WORDS, allowed)
-    return out.select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"), "label")
 
 
 def _queries_dense(spark, d):
-    return table(spark, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    """The stated query set: every vector whose id is divisible by fifty."""
+    return table(spark, d, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
 
 
 def dense_topk(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"))
-    return R.dense(vectors, _queries_dense(spark, d), K_DENSE).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
+    return R.dense(_vectors(spark, d), _queries_dense(spark, d), K_DENSE).select("qid", "unit", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _lists(spark, d):
@@ -63,13 +63,8 @@ def rescore_boosts(spark, d):
 
 def own_code_quota(spark, d):
     """Dense lists with at least ten rows of the query's own label."""
-    vectors = table(spark, d, "embeddings")
     main = dense_topk(spark, d).select("qid", "unit", "score")
-    mine = vectors.select(F.col("vec_id").alias("unit"), F.col("embedding").alias("v"), "label")
-    queries = vectors.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("own_label"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    own = mine.crossJoin(F.broadcast(queries)).filter((F.col("label") == F.col("own_label")) & (F.col("unit") != F.col("qid"))).select("qid", "unit", F.round(dot, 6).alias("score"))
-    own = R.top(own, "qid", "score", "unit", K_DENSE).select("qid", "unit", "score")
+    own = R.dense(_vectors(spark, d), _queries_dense(spark, d), K_DENSE, own=True).select("qid", "unit", "score")
     return R.own_quota(main, own, K_DENSE, 10).select("qid", "unit", "score", F.col("own").cast("long").alias("own"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -102,14 +97,14 @@ tok AS (SELECT doc_id AS unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+
   UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')), 1.5 FROM documents),
 len AS (SELECT unit, count(*) AS length FROM tok GROUP BY unit),
 mean AS (SELECT avg(length) AS mean_length, count(*) AS n FROM len),
-terms AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS term FROM benchmark WHERE item_id < {N_QUERIES}),
+terms AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS term FROM benchmark),
 tf AS (SELECT unit, term, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 ws AS (SELECT qid, unit, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean_length))), 6)::DOUBLE AS score
   FROM tf JOIN terms USING (term) JOIN df USING (term) JOIN len USING (unit), mean WHERE unit IN (SELECT doc_id FROM documents WHERE length(text) >= 40) GROUP BY qid, unit),
 words AS (SELECT qid, unit, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM ws QUALIFY rank <= {K_WORDS})"""
 _DENSE = f"""
-q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q, label AS own_label FROM embeddings WHERE vec_id < {N_QUERIES}),
+q AS (SELECT vec_id AS qid, CAST(embedding AS DOUBLE[]) AS q, label AS own_label FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT qid, vec_id AS unit, round(list_dot_product(CAST(embedding AS DOUBLE[]), q), 6) AS score, label = own_label AS own FROM embeddings, q WHERE vec_id <> qid),
 dense AS (SELECT qid, unit, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS rank FROM ds QUALIFY rank <= {K_DENSE})"""
 _FUSED = f"""{_BM25}, {_DENSE},

@@ -11,10 +11,11 @@ from ..sources.tables import table
 
 
 def jaccard_personalisation(spark, d):
-    """Profiles are customers, categories order priorities, units parts."""
-    orders = table(spark, d, "orders").filter(F.col("o_custkey") <= 60)
-    rows = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).withColumn("unit", F.col("l_partkey") % 50)
-    return Q.mean_pairwise_jaccard(rows, "o_custkey", "o_orderpriority", "unit")
+    """Profiles are nations (few, so pairs of them are), categories order
+    priorities, units the parts that a nation's customers bought."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = orders.join(table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return Q.mean_pairwise_jaccard(rows, "c_nationkey", "o_orderpriority", "l_partkey")
 
 
 def division_matrix(spark, d):
@@ -29,7 +30,7 @@ def readiness_gates(spark, d):
     """Gate rows: part, name, ok, from one pass over the documents."""
     docs = table(spark, d, "documents")
     m = docs.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("hosts"), F.count_if(F.length("text") < 40).alias("short"),
-                 F.count(F.lit(1)).alias("m"), F.countDistinct("text").alias("distinct_texts"))
+                 F.countDistinct(F.unhex(F.md5("text"))).alias("distinct_texts"))
     return m.select(F.explode(F.array(
         F.struct(F.lit("A").alias("part"), F.lit("units").alias("name"), (F.col("n") >= 100).alias("ok")),
         F.struct(F.lit("A").alias("part"), F.lit("hosts").alias("name"), (F.col("hosts") >= 10).alias("ok")),
@@ -123,12 +124,11 @@ def rubric_scores(spark, d):
 
 
 def theme_strength(spark, d):
-    """Own weight plus the weights of other entries that share a word."""
-    names = table(spark, d, "part").filter(F.col("p_partkey") <= 300).select("p_partkey", F.explode(F.array_distinct(T.words(F.col("p_name"), 4))).alias("word"), F.col("p_size").alias("w"))
-    pairs = names.join(names.select(F.col("p_partkey").alias("other"), "word", F.col("w").alias("w2")), "word").filter(F.col("p_partkey") != F.col("other"))
-    shared = pairs.select("p_partkey", "other", "w2").distinct().groupBy("p_partkey").agg(F.sum("w2").alias("more"))
-    own = table(spark, d, "part").filter(F.col("p_partkey") <= 300)
-    return own.join(shared, "p_partkey", "left").select("p_partkey", (F.col("p_size") + F.coalesce("more", F.lit(0))).cast("long").alias("strength"))
+    """Own weight plus the weights of all other entries that share a word, with
+    no pair of entries ever formed: sums over every set of words that an entry's
+    words contain, added and subtracted in turn, count each other entry once."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size", F.array_sort(F.array_distinct(T.words(F.col("p_name"), 4))).alias("words"))
+    return Q.shared_word_strength(parts, "p_partkey", "words", "p_size").select("p_partkey", "strength")
 
 
 def json_props(spark, d):
@@ -152,7 +152,7 @@ QUERIES = {f.__name__: f for f in (
 
 _W4 = "regexp_extract_all(lower({}), '[a-z0-9]{{4,}}')"
 ORACLES = {
-    "jaccard_personalisation": """WITH s AS (SELECT DISTINCT o_orderpriority AS category, o_custkey AS p, l_partkey % 50 AS u FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 60),
+    "jaccard_personalisation": """WITH s AS (SELECT DISTINCT o_orderpriority AS category, c_nationkey AS p, l_partkey AS u FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey),
 g AS (SELECT category, p, list(u) AS l FROM s GROUP BY ALL)
 SELECT a.category, round(avg(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))), 6) AS mean_jaccard FROM g a JOIN g b ON a.category = b.category AND a.p < b.p GROUP BY 1""",
     "division_matrix": """SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr,
@@ -182,10 +182,10 @@ SELECT det1, model1, cand, det2, model2, CASE WHEN det1 = 'non_factual' THEN 'su
   regexp_replace(lpad(CAST(p_partkey % 700 AS VARCHAR), 4, '0'), '^0+', '') AS p FROM part)""",
     "rubric_scores": """SELECT doc_id, least(10.0, CASE WHEN length(text) >= 200 THEN 5.0 ELSE 0 END + CASE WHEN contains(text, chr(10)) THEN 3.0 ELSE 0 END
   + CASE WHEN list_max(list_transform(regexp_extract_all(text, '(19[5-9][0-9]|20[0-3][0-9])'), lambda y: CAST(y AS INT))) >= 2000 THEN 4.0 ELSE 0 END)::DOUBLE AS score FROM documents""",
-    "theme_strength": f"""WITH w AS (SELECT p_partkey, unnest(list_distinct({_W4.format('p_name')})) AS word, p_size AS w FROM part WHERE p_partkey <= 300),
+    "theme_strength": f"""WITH w AS (SELECT p_partkey, unnest(list_distinct({_W4.format('p_name')})) AS word, p_size AS w FROM part),
 s AS (SELECT DISTINCT a.p_partkey, b.p_partkey AS other, b.w AS w2 FROM w a JOIN w b ON a.word = b.word AND a.p_partkey <> b.p_partkey),
 m AS (SELECT p_partkey, sum(w2) AS more FROM s GROUP BY 1)
-SELECT p.p_partkey, CAST(p_size + coalesce(more, 0) AS BIGINT) AS strength FROM part p LEFT JOIN m ON m.p_partkey = p.p_partkey WHERE p.p_partkey <= 300""",
+SELECT p.p_partkey, CAST(p_size + coalesce(more, 0) AS BIGINT) AS strength FROM part p LEFT JOIN m ON m.p_partkey = p.p_partkey""",
     "json_props": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1",
     "worst_pages": """WITH b AS (SELECT d.doc_id, CAST(length(text) AS BIGINT) AS n FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id WHERE q = 0 OR length(text) < 40)
 SELECT doc_id, n, (SELECT count(*) FROM b) AS total FROM b ORDER BY n, doc_id LIMIT 30""",

@@ -43,7 +43,7 @@ def query_terms_planned(spark, d):
 
 def planned_queries(spark, d):
     items = table(spark, d, "conversations").select(
-        F.col("conv_id").alias("profile"), F.col("role").alias("code"), F.col("turn").alias("ord"), F.substring("text", 1, 12).alias("text"), F.lit(1.0).alias("weight"))
+        F.col("conv_id").alias("profile"), F.col("role").alias("code"), F.col("turn").alias("ord"), "text", F.lit(1.0).alias("weight"))
     return U.plan_queries(items, 2).select("profile", "code", "qid", "text")
 
 
@@ -56,7 +56,7 @@ def graph_term_fit(spark, d):
 def response_validation(spark, d):
     """Documents' rows written as model responses; every third cites an unknown
     id, every fifth has no text, every seventh is broken."""
-    docs = table(spark, d, "documents").filter(F.col("doc_id") < 200)
+    docs = table(spark, d, "documents")
     ids = F.array(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit("none")).otherwise(F.lit("1")))
     item = F.struct(F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.lit("t")).alias("text"), ids.alias("ids"))
     raw = F.when(F.col("doc_id") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.array_repeat(item, (F.col("doc_id") % 4).cast("int")).alias("items"))))
@@ -72,7 +72,7 @@ def pending_calls(spark, d):
 
 def bullet_support(spark, d):
     """Orders as bullets that state their lines' quantities and cite the lines."""
-    lines = table(spark, d, "lineitem").filter(F.col("l_orderkey") <= 2000).withColumn("fact", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    lines = table(spark, d, "lineitem").withColumn("fact", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     bullets = lines.groupBy("l_orderkey").agg(F.concat_ws(" and ", F.sort_array(F.collect_list((F.col("l_quantity").cast("int") + F.when(F.col("l_linenumber") == 4, 100).otherwise(0)).cast("string")))).alias("text"))
     cites = lines.select(F.col("l_orderkey").alias("bullet"), "fact")
     facts = lines.select("fact", F.concat(F.lit("took "), F.col("l_quantity").cast("int").cast("string")).alias("fact_text"))
@@ -81,15 +81,13 @@ def bullet_support(spark, d):
 
 def joint_cap_digest(spark, d):
     orders = table(spark, d, "orders").withColumn("clerk", F.col("o_custkey") % 40)
-    short = orders.withColumn("rn", F.row_number().over(Window.partitionBy("o_orderpriority", "clerk").orderBy(F.desc("o_totalprice"), "o_orderkey"))).filter("rn <= 60")
-    return U.joint_caps(short, "o_orderpriority", "o_totalprice", "o_orderkey", {"clerk": 8, "o_orderstatus": 90}, 120)
+    return U.joint_caps(orders, "o_orderpriority", "o_totalprice", "o_orderkey", {"clerk": 8, "o_orderstatus": 90}, 120)
 
 
 def anchor_seats(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
     rows = v.select((F.col("vec_id") % 4).alias("student"), (F.col("vec_id") % 7).alias("artefact"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("chapter"), F.col("vec_id").alias("unit"), (F.col("vec_id") % 60).alias("entity"))
-    place = F.row_number().over(Window.partitionBy("student", "artefact").orderBy("unit"))
-    return U.seats_by_round(rows.withColumn("place", place).filter(F.col("place") <= 20), 4, 10)
+    return U.seats_by_round(rows.withColumn("place", F.row_number().over(Window.partitionBy("student", "artefact").orderBy("unit"))), 4, 10)
 
 
 def stale_statements(spark, d):
@@ -144,7 +142,7 @@ q AS (SELECT conv_id, turn, x, min(i) AS i, 1 AS g FROM (SELECT conv_id, turn, u
 p AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) <= 24),
 a AS (SELECT conv_id, turn, string_agg(x, ' ' ORDER BY g, i) AS terms FROM (FROM c UNION ALL FROM p) GROUP BY ALL)
 SELECT conv_id, turn, coalesce(terms, '') AS terms FROM w LEFT JOIN a USING (conv_id, turn)""",
-    "planned_queries": """WITH i AS (SELECT conv_id AS profile, role AS code, turn, substr(text, 1, 12) AS text FROM conversations),
+    "planned_queries": """WITH i AS (SELECT conv_id AS profile, role AS code, turn, text FROM conversations),
 f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY profile, code, lower(text) ORDER BY turn) = 1)
 SELECT profile, code, row_number() OVER (PARTITION BY profile, code ORDER BY turn) AS qid, text FROM f QUALIFY qid <= 2""",
     "graph_term_fit": """WITH n AS (SELECT 'customer:' || c_custkey AS id, 'customer' AS type, lower(c_name) AS k FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', lower(s_name) FROM supplier
@@ -152,10 +150,10 @@ SELECT profile, code, row_number() OVER (PARTITION BY profile, code ORDER BY tur
 t AS (SELECT term FROM (SELECT unnest(string_split_regex(k, '[^a-z0-9]+')) AS term FROM n WHERE type = 'part') GROUP BY term HAVING count(*) >= 10),
 w AS (SELECT DISTINCT id, type, unnest(string_split_regex(k, '[^a-z0-9]+')) AS term FROM n)
 SELECT term, type, count(*) AS fit FROM w JOIN t USING (term) GROUP BY ALL""",
-    "response_validation": """WITH d AS (SELECT doc_id AS key, doc_id % 7 = 0 AS bad, doc_id % 4 AS n FROM documents WHERE doc_id < 200)
+    "response_validation": """WITH d AS (SELECT doc_id AS key, doc_id % 7 = 0 AS bad, doc_id % 4 AS n FROM documents)
 SELECT key, CASE WHEN bad THEN 'unparsed' ELSE array_to_string(list_sort(list_filter([CASE WHEN n = 0 THEN 'count' END, CASE WHEN n > 0 AND key % 5 = 0 THEN 'empty_text' END, CASE WHEN n > 0 AND key % 3 = 0 THEN 'unknown:none' END], lambda x: x IS NOT NULL)), ',') END AS errors FROM d""",
     "pending_calls": """SELECT conv_id, count(*) AS n FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE conv_id % 3 = 0) GROUP BY conv_id""",
-    "bullet_support": """WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + CASE WHEN l_linenumber = 4 THEN 100 ELSE 0 END AS c FROM lineitem WHERE l_orderkey <= 2000),
+    "bullet_support": """WITH l AS (SELECT l_orderkey, CAST(l_quantity AS INT) AS q, CAST(l_quantity AS INT) + CASE WHEN l_linenumber = 4 THEN 100 ELSE 0 END AS c FROM lineitem),
 m AS (SELECT DISTINCT l_orderkey, CAST(c AS VARCHAR) AS c FROM l WHERE NOT EXISTS (SELECT 1 FROM l x WHERE x.l_orderkey = l.l_orderkey AND x.q = l.c))
 SELECT b.l_orderkey AS bullet, coalesce(string_agg(c, ',' ORDER BY c), '') AS lacking FROM (SELECT DISTINCT l_orderkey FROM l) b LEFT JOIN m USING (l_orderkey) GROUP BY 1""",
     "stale_statements": f"SELECT lang, count(*) AS n, max(y) AS newest FROM (SELECT lang, {_YEAR.format('text')} AS y FROM documents) WHERE y < 2010 GROUP BY lang",

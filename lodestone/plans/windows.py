@@ -41,15 +41,16 @@ def seeded_sample(spark, d):
 
 def footnote_numbers(spark, d):
     rows = table(spark, d, "lineitem").withColumn("pos", F.col("l_partkey") * 10 + F.col("l_linenumber"))
-    return W.first_appearance_numbers(rows.filter(F.col("l_orderkey") <= 2000), "l_orderkey", "l_suppkey", "pos").select("l_orderkey", "l_suppkey", "first_pos", "number")
+    return W.first_appearance_numbers(rows, "l_orderkey", "l_suppkey", "pos").select("l_orderkey", "l_suppkey", "first_pos", "number")
 
 
 def duplicate_headlines(spark, d):
-    """A headline stays at its first chapter only."""
-    rows = table(spark, d, "documents").select("doc_id", "lang", F.substring(T.alnum_form(F.col("text")), 1, 40).alias("headline"))
+    """A headline (every line of the documents) stays at its first chapter only."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("headline", T.alnum_form(F.col("line"))).filter(F.col("headline") != "")
     chapter = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(4)
-    first = Window.partitionBy("headline").orderBy("chapter", "doc_id")
-    return rows.withColumn("chapter", chapter).withColumn("rn", F.row_number().over(first)).filter("rn = 1").groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    # Partly aggregated before the shuffle: a line that every document repeats is one row a task.
+    first = rows.groupBy("headline").agg(F.min(F.struct(chapter.alias("chapter"), "doc_id", "pos", "lang")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return first.groupBy(F.col("first.lang").alias("lang")).agg(F.count(F.lit(1)).alias("kept"), (F.sum("n") - F.count(F.lit(1))).alias("dropped"))
 
 
 def section_carry(spark, d):
@@ -138,11 +139,13 @@ SELECT *, CAST(floor((row_number() OVER (PARTITION BY round ORDER BY conv_id) -
     "fixed_batches": """WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS p FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT o_orderkey, o_orderstatus, p // 50 AS batch, p % 50 AS index FROM r""",
     "seeded_sample": """SELECT doc_id, lang, place FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '7'), doc_id) AS place FROM documents) WHERE place <= 20""",
-    "footnote_numbers": """WITH f AS (SELECT l_orderkey, l_suppkey, min(l_partkey * 10 + l_linenumber) AS first_pos FROM lineitem WHERE l_orderkey <= 2000 GROUP BY ALL)
+    "footnote_numbers": """WITH f AS (SELECT l_orderkey, l_suppkey, min(l_partkey * 10 + l_linenumber) AS first_pos FROM lineitem GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_pos, l_suppkey) AS number FROM f""",
-    "duplicate_headlines": """WITH h AS (SELECT doc_id, lang, substr(trim(regexp_replace(lower(translate(text, '‘’‛ʼ“”‟–—‑−' || chr(160), '''''''''\"\"\"---- ')), '[^a-z0-9]+', ' ', 'g')), 1, 40) AS headline,
-  CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS chapter FROM documents)
-SELECT lang, count(*) AS kept FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY headline ORDER BY chapter, doc_id) = 1) GROUP BY lang""",
+    "duplicate_headlines": """WITH h AS (SELECT lang, doc_id, pos, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS chapter,
+  trim(regexp_replace(lower(translate(l[pos], '’‘“”–—' || chr(160), '''''""-- ')), '[^a-z0-9]+', ' ', 'g')) AS headline
+  FROM (SELECT *, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)),
+f AS (SELECT *, count(*) OVER (PARTITION BY headline) AS n FROM h WHERE headline <> '' QUALIFY row_number() OVER (PARTITION BY headline ORDER BY chapter, doc_id, pos) = 1)
+SELECT lang, count(*) AS kept, CAST(sum(n) - count(*) AS BIGINT) AS dropped FROM f GROUP BY lang""",
     "section_carry": """SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""",
     "lookahead_names": "SELECT p_partkey, p_brand, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_name FROM part",
     "group_sizes": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS group_size FROM orders",
