@@ -158,23 +158,6 @@ def strip_invisible(text: Column) -> Column:
     return F.regexp_replace(text, INVISIBLE, "")
 
 
-# Phrases that try to steer a model, in order of precedence.
-SUSPICIOUS = (
-    ("override", r"(?i)(ignore|disregard)( all| any)? (previous|prior|above)"),
-    ("role", r"(?i)you are now|act as (an?|the) "),
-    ("reveal", r"(?i)(reveal|print|show).{0,20}(system prompt|instructions)"),
-    ("delimiter", r"(?i)</?(system|evidence|profile)>"),
-)
-
-
-def suspicious_reason(line: Column) -> Column:
-    """The first rule that a line breaks, else null."""
-    out = F.lit(None).cast("string")
-    for reason, pattern in reversed(SUSPICIOUS):
-        out = F.when(line.rlike(pattern), F.lit(reason)).otherwise(out)
-    return out
-
-
 def hashed_words(text: Column, dims: int = 64) -> Column:
     """Deterministic bag-of-words embedding: signed hashed counts, length one."""
 

@@ -56,15 +56,5 @@ def folded_texts(spark, d):
     return t.agg(F.count_if(F.col("text") != F.col("n")).alias("nfkc_changes"), F.count_if(F.col("text") != F.col("s")).alias("invisible_changes"))
 
 
-def suspicious_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", C.suspicious_reason(F.col("line")).alias("reason")).filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
-QUERIES = {f.__name__: f for f in (sentence_split, claim_check, chunk_pack, sequence_ratio, stub_embeddings, folded_texts, suspicious_lines)}
-ORACLES = {
-    "suspicious_lines": """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
-r AS (SELECT CASE WHEN regexp_matches(line, '(?i)(ignore|disregard)( all| any)? (previous|prior|above)') THEN 'override' WHEN regexp_matches(line, '(?i)you are now|act as (an?|the) ') THEN 'role'
-  WHEN regexp_matches(line, '(?i)(reveal|print|show).{0,20}(system prompt|instructions)') THEN 'reveal' WHEN regexp_matches(line, '(?i)</?(system|evidence|profile)>') THEN 'delimiter' END AS reason FROM l)
-SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason""",
-}
+QUERIES = {f.__name__: f for f in (sentence_split, claim_check, chunk_pack, sequence_ratio, stub_embeddings, folded_texts)}
+ORACLES: dict[str, str] = {}

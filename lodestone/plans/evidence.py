@@ -9,9 +9,6 @@ from ..operators import evidence as E
 from ..operators import windows as W
 from ..sources.tables import spread, table
 
-MARKERS = ["ingly", "ation the", "heit", "amente"]
-RESCUE = ["the of", "und der"]
-
 
 def unit_projection(spark, d):
     docs = table(spark, d, "documents")
@@ -31,12 +28,6 @@ def candidate_prefilter(spark, d):
     return passed.join(toxic, "doc_id", "left_anti").select("doc_id", "lang", "source")
 
 
-def marker_gate(spark, d):
-    folded = F.translate(F.lower("text"), "’ʼ", "''")
-    flag = T.contains_any(folded, MARKERS) & ~T.contains_any(folded, RESCUE)
-    return table(spark, d, "documents").select("doc_id", flag.alias("gated"))
-
-
 def _quotes_and_pages(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return quotes, spread(table(spark, d, "documents")).select(F.col("doc_id").alias("page_id"), "text")
@@ -123,19 +114,10 @@ def sentence_restatement(spark, d):
         (T.overlap(F.col("w"), F.col("prev")) >= 0.72).alias("restates"))
 
 
-def restriction_tags(spark, d):
-    """Rules tagged on passages: every rule that matches, counted by source."""
-    rules = [("short_word", "(^|[^a-z])of the([^a-z]|$)"), ("digit", "[0-9]{4}"), ("mail", T.EMAIL)]
-    docs = table(spark, d, "documents")
-    low = F.lower("text")
-    tags = F.array_compact(F.array(*[F.when((F.col("text") if k == "mail" else low).rlike(p), F.lit(k)) for k, p in rules]))
-    return docs.select("source", F.explode(tags).alias("tag")).groupBy("source", "tag").agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {f.__name__: f for f in (
-    unit_projection, candidate_prefilter, marker_gate, quote_verify, quote_verify_counts, fact_merge, dedupe_key_groups,
+    unit_projection, candidate_prefilter, quote_verify, quote_verify_counts, fact_merge, dedupe_key_groups,
     boilerplate_lines, clean_pages, host_page_stats, coverage_by_category, recall_items, freshness_rate, shingle_overlap,
-    email_redaction, sentence_restatement, restriction_tags)}
+    email_redaction, sentence_restatement)}
 
 _FOLD = "translate({}, '’‘“”–—' || chr(160), '''''\"\"-- ')"
 _SPACE = r"trim(regexp_replace({}, '[ \t\r\n\f\x0B]+', ' ', 'g'))"
@@ -181,17 +163,12 @@ bad AS (SELECT source AS host, line, n_pages, host_pages FROM (SELECT source, li
   WHERE host_pages >= 5 AND n_pages >= 0.03 * host_pages)"""
 
 
-def _any(markers):
-    return "(" + " OR ".join(f"contains(t, '{m}')" for m in markers) + ")"
-
-
 ORACLES = {
     "unit_projection": f"""SELECT 'unit-chunk-' || substr(sha1(concat_ws('|', CAST(doc_id AS VARCHAR), source)), 1, 12) AS unit_id, 'chunk' AS kind,
   upper(lang) AS category_code, source AS source_host, {_YEARS.format('text')} AS year, CAST(length(text) AS BIGINT) AS n_text, doc_id,
   sha1(source || ': ' || text) AS embed_sha, row_number() OVER (ORDER BY doc_id) - 1 AS vec_row FROM documents""",
     "candidate_prefilter": """SELECT doc_id, lang, source FROM documents WHERE length(text) >= 40 AND lang IN ('en', 'de')
   AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-    "marker_gate": f"SELECT doc_id, {_any(MARKERS)} AND NOT {_any(RESCUE)} AS gated FROM (SELECT doc_id, translate(lower(text), '’ʼ', '''''') AS t FROM documents)",
     "quote_verify": f"WITH {_BOUND}, {_STATUS} SELECT quote_id, page_id, status, extract_status FROM status",
     "quote_verify_counts": f"WITH {_BOUND}, {_STATUS} SELECT status, extract_status, count(*) AS n, count(DISTINCT quote_id) AS n_quotes FROM status GROUP BY ALL",
     "fact_merge": f"""WITH l AS (SELECT doc_id, lang, source, pos, trim(l[pos]) AS s FROM (SELECT *, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents))
@@ -222,8 +199,4 @@ SELECT quote_id, page_id, round({_OVER.format('a', 'b')}, 6) AS overlap FROM g""
     "sentence_restatement": f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]{{3,}}') AS w FROM conversations),
 l AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM t)
 SELECT conv_id, turn, round({_OVER.format('w', 'prev')}, 6) AS overlap, {_OVER.format('w', 'prev')} >= 0.72 AS restates FROM l WHERE prev IS NOT NULL""",
-    "restriction_tags": f"""WITH t AS (SELECT source, 'short_word' AS tag FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])of the([^a-z]|$)')
-  UNION ALL SELECT source, 'digit' FROM documents WHERE regexp_matches(text, '[0-9]{{4}}')
-  UNION ALL SELECT source, 'mail' FROM documents WHERE regexp_matches(text, '{T.EMAIL}'))
-SELECT source, tag, count(*) AS n FROM t GROUP BY ALL""",
 }
