@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_path  # noqa: F401  for the operators
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A-Z to lower case; every other ASCII character but 0-9 and a-z to a blank.
@@ -18,40 +16,6 @@ WORD_BYTES = bytes(
 )
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or a temporary one on one machine."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.gettempdir() + "/lodestone-shared"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only a session on one
-    machine may leave that unset: a temporary folder stands in.  Elsewhere each
-    executor would write to a disk of its own, so that is an error.  The path
-    goes when the JVM ends.
-    """
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to shared storage and read them back: lineage ends there,
-    and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches, rows: int = 256):
     """Arrow batches in pieces of ``rows``: bounds what a worker unpacks at once.
     The session's own limit on bytes a batch bounds what reaches it."""
