@@ -270,7 +270,7 @@ def link_group(ids: list, sets: list[np.ndarray], weights: list[np.ndarray], thr
     return [(ids[i], ids[find(i)]) for i in range(n)]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 10, per_band: int = 4, rare: float = 0.001, block_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 10, per_band: int = 4, rare: float = 0.001, block_bytes: int = 16 << 20) -> DataFrame:
     """Class of each document under weighted Jaccard similarity >= threshold.
 
     Returns one row per input row: doc_id, class_id (smallest id of the class),
