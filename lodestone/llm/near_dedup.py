@@ -37,22 +37,29 @@ class Weights:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hash, self.weight = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.hash, self.weight = np.zeros(1024, np.uint64), np.zeros(1024, np.float32)
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list[bytes]) -> None:
         import xxhash
 
+        first, last = len(self.number), len(self.number) + len(new)
+        if last > len(self.hash):  # room for twice as many
+            self.hash, self.weight = np.resize(self.hash, 2 * last), np.resize(self.weight, 2 * last)
+        self.number.update(zip(new, range(first, last)))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        weights = np.full(len(new), self.most, np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            known = self.keys[at] == hashes
+            weights[known] = self.idf[at[known]]
+        self.hash[first:last], self.weight[first:last] = hashes, weights
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > self.bound:
             self.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.number))
+        new = set(words).difference(self.number)
         if new:
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-            known = self.keys[at] == hashes if len(self.keys) else np.zeros(len(new), bool)
-            weights = np.full(len(new), self.most, np.float32)
-            weights[known] = self.idf[at[known]]
-            self.hash, self.weight = np.concatenate([self.hash, hashes]), np.concatenate([self.weight, weights])
+            self._learn(list(new))
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return self.hash[at], self.weight[at]
 
@@ -63,8 +70,12 @@ class Weights:
         total = np.zeros(len(words) - size + 1, np.float32)
         for j in range(size):
             total += weights[j : len(total) + j]
-        found, at, tf = np.unique(shingle_hashes(hashes, size), return_index=True, return_counts=True)
-        return found, tf.astype(np.float32) * (total[at] / np.float32(size))
+        found = shingle_hashes(hashes, size)
+        order = np.argsort(found)
+        found = found[order]
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[first, len(found)]).astype(np.float32)
+        return found[first], tf * (total[order[first]] / np.float32(size))
 
 
 def document_frequencies(rows: DataFrame, rare: float) -> Weights:
@@ -113,7 +124,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 def sample(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """``n`` improved consistent weighted samples (Ioffe 2010) of each text, the
     texts lying one after the other from ``starts``: the shingle and level t that
-    minimise ln a = ln c - r (t + 1 - beta), with r and c of Gamma(2, 1), beta
+    minimise a = c exp(-r (t + 1 - beta)), with r and c of Gamma(2, 1), beta
     uniform and t = floor(ln w / r + beta).  Returns texts x samples of hashes."""
     log_w = np.log(weights)
     place = np.arange(len(shingles), dtype=np.uint64)
@@ -122,12 +133,11 @@ def sample(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, n: int
         first = mix64(shingles + np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 % 2**64))
         u = _uniform(first)
         r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-        beta = (mix64(first + np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
+        beta = (((first ^ (first >> np.uint64(31))) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype(np.float32) * np.float32(1 / (1 << 24))
         t = np.floor(log_w / r + beta)
-        bits = (np.log(c) - r * (t + 1 - beta)).astype(np.float32).view(np.uint32)
-        # Floats as integers of the same order, with the place below.
-        rising = bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))
-        best = np.minimum.reduceat((rising.astype(np.uint64) << np.uint64(32)) | place, starts) & np.uint64(0xFFFFFFFF)
+        # Positive floats are of the same order as their bits; the place goes below.
+        bits = (c * np.exp(r * (beta - t - 1))).view(np.uint32)
+        best = np.minimum.reduceat((bits.astype(np.uint64) << np.uint64(32)) | place, starts) & np.uint64(0xFFFFFFFF)
         best = best.astype(np.int64)
         out[:, k] = shingles[best] + t[best].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix64(out)
