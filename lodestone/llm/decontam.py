@@ -108,44 +108,45 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         hashes = WordHashes()
         for batch in slices(batches):
-            row, at, spot, before, around = [], [], [], [], []
+            row, n, at, spot, before, around = [], [], [], [], [], []
             for i, text in enumerate(binary_column(batch, "text")):
                 words = words_of(text)
-                if not words:
-                    continue
-                for j in np.flatnonzero(bits[(hashes.of(words) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
-                    start = max(0, j - window + 1)
-                    row.append(i)
-                    at.append(start)
-                    spot.append(words[j])
-                    before.append(j - start)
-                    around.append(words[start : j + window])
+                starts = np.flatnonzero(bits[(hashes.of(words) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]).tolist() if words else []
+                # The first row of each text has its length and no word.
+                row += [i] * (len(starts) + 1)
+                n += [len(words)] * (len(starts) + 1)
+                at += [0, *(max(0, j - window + 1) for j in starts)]
+                spot += [None, *(words[j] for j in starts)]
+                before += [0, *(min(j, window - 1) for j in starts)]
+                around += [None, *(words[max(0, j - window + 1) : j + window] for j in starts)]
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(spot, pa.binary()).cast(pa.string()), pa.array(at, pa.int32()),
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(n, pa.int64()), pa.array(spot, pa.binary()).cast(pa.string()), pa.array(at, pa.int32()),
                  pa.array(before, pa.int32()), pa.array(around, pa.list_(pa.binary())).cast(pa.list_(pa.string()))],
-                ["doc_id", "th", "word", "at", "before", "around"],
+                ["doc_id", "th", "n", "word", "at", "before", "around"],
             )
 
-    spots = rows.select("doc_id", text_key(), "text").mapInArrow(places, f"doc_id {kind}, th long, word string, at int, before int, around array<string>")
+    spots = rows.select("doc_id", text_key(), "text").mapInArrow(places, f"doc_id {kind}, th long, n long, word string, at int, before int, around array<string>")
+    spots = cut(spots, "prefix-places")
     start = F.col("before") - F.col("offset")
     hits = (
-        salted_join(spots, prefix, "word", ["doc_id", "at"])
+        salted_join(spots.filter(F.col("word").isNotNull()), prefix, "word", ["doc_id", "at"])
         .filter((start >= 0) & (start + F.size("win") <= F.size("around")))
         .filter(F.slice("around", start + 1, F.size("win")) == F.col("win"))
-        .select("doc_id", "th", (F.col("at") + start).alias("start"), F.size("win").alias("len"), "items")
+        .select("doc_id", "th", "n", (F.col("at") + start).alias("start"), F.size("win").alias("len"), "items")
     )
-    found = hits.groupBy("doc_id", "th").agg(
+    lengths = spots.filter(F.col("word").isNull()).select("doc_id", "th", "n", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items"))
+    found = hits.unionByName(lengths).groupBy("doc_id", "th").agg(
+        F.max("n").alias("n"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1))))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
     )
-    n_words = F.regexp_count(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD))
     wanted = rows.columns if text_col in keep else [c for c in rows.columns if c != "text"]
-    joined = join_rows(rows.select(*wanted, text_key(), n_words.alias("n")), found, hash_right=True)
+    joined = join_rows(rows.select(*wanted, text_key()), found, hash_right=True)
     items = F.coalesce(F.array_join("found", ","), F.lit(""))
     n_items = F.coalesce(F.size("found"), F.lit(0))
     return joined.select(
-        *wanted, F.col("n").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        *wanted, F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         n_items.cast("long").alias("n_items"), items.alias("items"), F.sha2(items, 256).alias("items_sha256"),
         (n_items >= min_items).alias("contaminated"),
     )
