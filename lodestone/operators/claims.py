@@ -74,46 +74,6 @@ def pack(text: str, most: int = 2400, tail: int = 350) -> list[str]:
     return chunks
 
 
-def find_numbers(text: str) -> list[str]:
-    """Numbers as comparable keys: no thousands commas, no trailing zeros."""
-    found = []
-    for raw in re.findall(r"\d[\d,]*(?:\.\d+)?", text):
-        plain = raw.replace(",", "")
-        found.append(plain.rstrip("0").rstrip(".") if "." in plain else plain)
-    return found
-
-
-def find_names(text: str) -> list[str]:
-    """Runs of two or more capitalised words, not counting a sentence's first."""
-    return [m.group(0) for m in re.finditer(r"(?<![.!?]\s)(?<!^)\b[A-Z][a-z]+(?: [A-Z][a-z]+)+", text)]
-
-
-def check_claim(claim: str, evidence: list[str], window: int = 12) -> list[str]:
-    """Findings of a claim against the evidence that it cites: quotes must stand
-    in one piece of evidence, numbers near a word of the claim, names at word
-    boundaries in one piece; nothing is put together across pieces."""
-    fold = lambda s: " ".join(unicodedata.normalize("NFKC", s).casefold().split())
-    pieces = [fold(e) for e in evidence if e]
-    findings = []
-    for quote in re.findall(r"[\"“]([^\"”]{12,})[\"”]", claim):
-        if not any(fold(quote) in p for p in pieces):
-            findings.append("quote")
-    context = {w for w in re.findall(r"[a-z]{4,}", fold(claim))}
-    for number in find_numbers(claim):
-        near = False
-        for p in pieces:
-            words = p.split()
-            for i, w in enumerate(words):
-                if number in find_numbers(w) and context & set(re.findall(r"[a-z]{4,}", " ".join(words[max(0, i - window) : i + window + 1]))):
-                    near = True
-        if not near:
-            findings.append(f"number:{number}")
-    for name in find_names(claim):
-        if not any(re.search(rf"(?<![a-z0-9]){re.escape(fold(name))}(?![a-z0-9])", p) for p in pieces):
-            findings.append(f"name:{fold(name)}")
-    return findings
-
-
 def sentence_rows(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     """One row per sentence: the key columns, pos, sentence, restates."""
     schema = rows.select(*key).schema.add("pos", IntegerType()).add("sentence", StringType()).add("restates", BooleanType())

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import claims as C
+from ..operators import grounding as G
 from ..sources.tables import table
 
 
@@ -16,17 +17,14 @@ def sentence_split(spark, d):
 
 
 def claim_check(spark, d):
-    """Every assistant turn checked against the user turns of its conversation."""
+    """Sentences of every assistant turn against the turn before as the unit that
+    it cites and the one before that as the reader's own file."""
     t = table(spark, d, "conversations")
-    evidence = t.filter(F.col("role") == "user").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("e"))
-    rows = t.filter(F.col("role") == "assistant").join(evidence, "conv_id").select("conv_id", "turn", "text", F.transform("e", lambda x: x["text"]).alias("evidence"))
-
-    @F.pandas_udf("array<string>")
-    def check(text: pd.Series, evidence: pd.Series) -> pd.Series:
-        return pd.Series([C.check_claim(a or "", list(b)) for a, b in zip(text, evidence)])
-
-    found = check("text", "evidence")
-    return rows.select("conv_id", "turn", found.alias("findings")).select("conv_id", "turn", F.array_join("findings", ",").alias("findings"), (F.size("findings") == 0).alias("clean"))
+    before = lambda n, name: t.select("conv_id", (F.col("turn") + n).cast("int").alias("turn"), F.col("text").alias(name))
+    rows = t.filter(F.col("role") == "assistant").join(before(1, "cited"), ["conv_id", "turn"], "left").join(before(2, "own"), ["conv_id", "turn"], "left")
+    units = F.when(F.col("cited").isNull(), F.array().cast("array<struct<text:string>>")).otherwise(F.array(F.struct(F.col("cited").alias("text"))))
+    found = rows.select("conv_id", "turn", F.explode(G.grounding(F.col("text"), units, F.array("own"))).alias("f"))
+    return found.select("conv_id", "turn", "f.pos", F.md5("f.sentence").alias("sentence_md5"), F.array_join("f.findings", "|").alias("findings"), "f.grounded")
 
 
 def chunk_pack(spark, d):
