@@ -73,10 +73,10 @@ def phone_redaction(spark, d):
 
 def rephrase_filter(spark, d):
     """Query terms not already covered by more than 60% in the first pass."""
-    t = table(spark, d, "conversations").withColumn("w", F.array_distinct(T.words(F.col("text"), 4))).filter(F.size("w") > 0)
-    own, first = t.filter(F.col("role") == "user"), t.filter(F.col("role") == "assistant").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("seen"))
-    share = F.size(F.array_intersect("w", F.coalesce("seen", F.array().cast("array<string>")))) / F.size("w")
-    return own.join(first, "conv_id", "left").select("conv_id", "turn", F.round(share, 6).alias("share"), (share > 0.6).alias("rephrase"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.explode(F.array_distinct(T.words(F.col("text"), 4))).alias("w"))
+    seen = t.filter(F.col("role") == "assistant").select("conv_id", "w", F.lit(1).alias("seen")).distinct()
+    share = F.count("seen") / F.count(F.lit(1))
+    return t.filter(F.col("role") == "user").join(seen, ["conv_id", "w"], "left").groupBy("conv_id", "turn").agg(F.round(share, 6).alias("share"), (share > 0.6).alias("rephrase"))
 
 
 def fact_order(spark, d):
