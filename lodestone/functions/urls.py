@@ -27,6 +27,26 @@ def query_of(url: Column) -> Column:
     return F.regexp_extract(F.trim(url), "^[^?#]*[?]([^#]*)", 1)
 
 
+def resolve(link: Column, base: Column) -> Column:
+    """The address that a link on the page ``base`` leads to: absolute links as
+    they are, others by scheme, host, query or folder; dot segments go."""
+    link, base = F.trim(link), F.trim(base)
+    origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    joined = (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(origin, path_of(base), link))
+        .otherwise(F.concat(origin, F.coalesce(F.nullif(F.regexp_replace(path_of(base), "[^/]*$", ""), F.lit("")), F.lit("/")), link))
+    )
+    part = lambda i: F.regexp_extract(joined, "(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", i)
+    # A closing dot segment stands for its folder, so a slash stays behind it.
+    segments = F.split(F.regexp_replace(part(2), "/([.]{1,2})$", "/$1/"), "/")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, x))
+    walked = F.array_join(F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step), "/")
+    return F.when(part(2).rlike("/[.]{1,2}(/|$)"), F.concat(part(1), walked, part(3))).otherwise(joined)
+
+
 def page_key(url: Column) -> Column:
     """One key for all spellings of a page: bare host, path without the closing
     slash, the query if any; lower case, no scheme, no fragment."""

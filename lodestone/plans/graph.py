@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..sources.files import expand_sitemaps
 from ..sources.shared import cut
 from ..sources.tables import table
 
@@ -90,11 +91,8 @@ def sitemap_recursion(spark, d):
         tables["nation"].select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"))
         .unionAll(tables["supplier"].select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
     )
-    level = tables["region"].select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit(0).cast("long").alias("depth"))
-    found = level
-    for _ in range(4):  # the depth bound of the descent
-        level = level.join(links, level["node"] == links["parent"]).select(F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"))
-        found = found.unionAll(level)
+    roots = tables["region"].select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("url"))
+    found = expand_sitemaps(links, roots).withColumn("depth", F.col("depth").cast("long"))
     return found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 

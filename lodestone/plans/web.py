@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import windows as W
+from ..sources import files
 from ..sources.tables import table
 
 ROOT, NEWS = "example.com", "news|press"
 HREF = r"""href=["']([^"'#]+)"""
+ROBOTS = """User-agent: other
+Disallow: /
+
+User-agent: *
+Disallow: /en/*5$  # comments go
+Allow: /en/*05$
+Disallow: /fr/
+Allow: /fr/8
+Disallow: /de/?
+Crawl-delay: 5
+"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
@@ -30,8 +42,14 @@ def title_parse(spark, d):
     return table(spark, d, "pages").select("page_id", title.alias("title"), F.length("html").cast("long").alias("n_html"))
 
 
+def page_links(spark, d):
+    """Links of every page, resolved against its address."""
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
+    return links.select("page_id", "url", U.resolve(F.col("href"), F.col("url")).alias("link"))
+
+
 def href_hosts(spark, d):
-    links = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"))
+    links = page_links(spark, d)
     return links.withColumn("host", U.host_of(F.col("link"))).groupBy("host").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
 
 
@@ -53,13 +71,11 @@ def url_score(spark, d):
 
 
 def robots_allowed(spark, d):
-    """Longest matching rule decides, an allow wins a tie, none allows: a join of
-    pages with the few rules of the file, both sides of it bounded by the rules."""
-    rules = spark.createDataFrame([("disallow", "/"), ("allow", "/p"), ("disallow", "/a"), ("allow", "/article"), ("disallow", "/docs/")], "verdict string, prefix string")
-    pages = table(spark, d, "pages").select("page_id", U.path_of(F.col("url")).alias("path"))
-    hit = pages.join(F.broadcast(rules), F.expr("startswith(path, prefix)"), "left")
-    best = hit.groupBy("page_id").agg(F.max(F.struct(F.length("prefix").alias("n"), (F.col("verdict") == "allow").alias("ok"))).alias("b"))
-    return best.select("page_id", F.coalesce("b.ok", F.lit(True)).alias("allowed"))
+    """Every host has the same file; the longest matching rule of the group for
+    all agents decides, an allow wins a tie, no rule allows."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("url"), U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
+    rules = files.robots_rules(pages.select("host", F.lit(ROBOTS).alias("body")).distinct())
+    return files.allowed(pages, rules).select(F.col("url").alias("page_id"), "allowed")
 
 
 def active_minutes(spark, d):
@@ -102,17 +118,18 @@ def first_seen_urls(spark, d):
     """Pages and their links as one candidate pool, each address at its first source."""
     pages = table(spark, d, "pages")
     own = pages.select(U.page_key(F.col("url")).alias("key"), F.lit("page").alias("src"), "page_id")
-    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"), "page_id").select(
-        U.page_key(F.col("link")).alias("key"), F.lit("link").alias("src"), "page_id")
+    links = page_links(spark, d).select(U.page_key(F.col("link")).alias("key"), F.lit("link").alias("src"), "page_id")
     return own.unionByName(links).filter(F.col("key") != "").groupBy("key").agg(
         F.min("page_id").alias("first_page"), F.array_join(F.array_sort(F.collect_set("src")), ",").alias("srcs"), F.count(F.lit(1)).alias("n"))
 
 
 def harvest_frontier(spark, d):
-    """Link targets that are no fetched pages."""
-    pages = table(spark, d, "pages")
-    found = pages.select(F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link")).select(U.page_key(F.col("link")).alias("key")).filter(F.col("key") != "").distinct()
-    return found.join(pages.select(U.page_key(F.col("url")).alias("key")), "key", "left_anti")
+    """What up to three rounds of links reach beyond the pages known before, each
+    address in the round that found it."""
+    links = page_links(spark, d).select(U.page_key(F.col("url")).alias("parent"), U.page_key(F.col("link")).alias("child")).filter(F.col("child") != "").distinct()
+    known = table(spark, d, "pages").select(U.page_key(F.col("url")).alias("url")).distinct()
+    found = files.expand_sitemaps(links, known, 3)
+    return found.filter(F.col("depth") > 0).select(F.col("node").alias("key"), F.col("depth").cast("long").alias("round"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -125,7 +142,11 @@ _PATH = "regexp_extract(trim({0}), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)',
 _QUERY = "regexp_extract(trim({0}), '^[^?#]*[?]([^#]*)', 1)"
 _KEY = "lower(" + _BARE + " || regexp_replace(" + _PATH + ", '/+$', '') || CASE WHEN " + _QUERY + " <> '' THEN '?' || " + _QUERY + " ELSE '' END)"
 _FETCH = "regexp_replace(regexp_replace(trim({0}), '#.*$', ''), '^http:', 'https:')"
-_LINKS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1)) AS link FROM pages"
+_HREFS = "SELECT page_id, url, trim(unnest(regexp_extract_all(html, 'href=[\"'']([^\"''#]+)', 1))) AS h FROM pages"
+_ORIGIN = "regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_LINKS = f"""SELECT page_id, url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(trim(url), '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || h
+  WHEN starts_with(h, '/') THEN {_ORIGIN} || h WHEN starts_with(h, '?') THEN {_ORIGIN} || {_PATH.format('url')} || h
+  ELSE {_ORIGIN} || coalesce(nullif(regexp_replace({_PATH.format('url')}, '[^/]*$', ''), ''), '/') || h END AS link FROM ({_HREFS})"""
 
 ORACLES = {
     "canonical_url": f"""SELECT page_id, {_KEY.format('url')} AS page_key, {_FETCH.format('url')} AS fetch_url,
@@ -139,9 +160,9 @@ ORACLES = {
     "url_score": f"""WITH s AS (SELECT page_id, {_BARE.format('url')} AS host, CAST(3 * len(regexp_extract_all(url, 'about|research|course')) + len(regexp_extract_all(url, '[0-9]'))
   - len(list_filter(string_split({_PATH.format('url')}, '/'), lambda x: x <> '')) AS BIGINT) AS score FROM pages)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS place FROM s) WHERE place <= 3""",
-    "robots_allowed": f"""WITH rules(verdict, prefix) AS (VALUES ('disallow', '/'), ('allow', '/p'), ('disallow', '/a'), ('allow', '/article'), ('disallow', '/docs/')),
-m AS (SELECT page_id, verdict, length(prefix) AS n, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC, verdict) AS rn
-  FROM (SELECT page_id, {_PATH.format('url')} AS path FROM pages) JOIN rules ON starts_with(path, prefix))
+    "robots_allowed": f"""WITH rules(verdict, n, rx) AS (VALUES ('disallow', 7, '^/en/.*5$'), ('allow', 8, '^/en/.*05$'), ('disallow', 4, '^/fr/'), ('allow', 5, '^/fr/8'), ('disallow', 5, '^/de/[?]')),
+m AS (SELECT page_id, verdict, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, verdict) AS rn
+  FROM (SELECT page_id, {_PATH.format('url')} AS path FROM pages) JOIN rules ON regexp_matches(path, rx))
 SELECT pages.page_id, coalesce(verdict = 'allow', true) AS allowed FROM pages LEFT JOIN m ON m.page_id = pages.page_id AND rn = 1""",
     "active_minutes": """SELECT user_id, round(coalesce(sum(least(g, 600000000)), 0) / 60e6, 6) AS minutes, count(*) AS n_events FROM
   (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS g FROM events) GROUP BY user_id""",
@@ -155,5 +176,5 @@ s AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 600000000 THEN 1 ELSE 0
 SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY ALL""",
     "first_seen_urls": f"""WITH pool AS (SELECT {_KEY.format('url')} AS key, 'page' AS src, page_id FROM pages UNION ALL SELECT {_KEY.format('link')}, 'link', page_id FROM ({_LINKS}))
 SELECT key, min(page_id) AS first_page, array_to_string(list_sort(list(DISTINCT src)), ',') AS srcs, count(*) AS n FROM pool WHERE key <> '' GROUP BY key""",
-    "harvest_frontier": f"""SELECT DISTINCT {_KEY.format('link')} AS key FROM ({_LINKS}) WHERE {_KEY.format('link')} <> '' AND {_KEY.format('link')} NOT IN (SELECT {_KEY.format('url')} FROM pages)""",
+    "harvest_frontier": f"""SELECT key, 1::BIGINT AS round FROM (SELECT DISTINCT {_KEY.format('link')} AS key FROM ({_LINKS})) WHERE key <> '' AND key NOT IN (SELECT {_KEY.format('url')} FROM pages)""",
 }

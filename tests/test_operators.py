@@ -145,6 +145,18 @@ def test_robots(spark):
     assert {r["url"]: r["allowed"] for r in files.allowed(pages, rules).collect()} == {"u1": False, "u2": True, "u3": True, "u4": True}
 
 
+@pytest.mark.parametrize("link, to", [
+    ("https://a.b/c", "https://a.b/c"), ("mailto:x@y", "mailto:x@y"), ("//a.b/c", "http://a.b/c"), ("/c?d#e", "http://h.x/c?d#e"), ("?d", "http://h.x/en/1.html?d"), (" c ", "http://h.x/en/c"),
+    ("../c", "http://h.x/c"), ("../../../c", "http://h.x/c"), ("./c/./d/..", "http://h.x/en/c/"), ("..", "http://h.x/"), ("/a/../b?x=/../y", "http://h.x/b?x=/../y"), ("a..b", "http://h.x/en/a..b"),
+])
+def test_resolve(spark, link, to):
+    assert one(spark, U.resolve(F.col("link"), F.col("base")), link=link, base="http://h.x/en/1.html?q=1") == to
+
+
+def test_resolve_on_a_bare_host(spark):
+    assert one(spark, U.resolve(F.col("link"), F.col("base")), link="c", base="http://h.x") == "http://h.x/c"
+
+
 def test_sitemap_cycles_end(spark):
     index = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string")
     got = {r["node"]: r["depth"] for r in files.expand_sitemaps(index, spark.createDataFrame([("a",)], "url string")).collect()}
