@@ -1,4 +1,4 @@
-"""Search and selection: postings, BM25, dense top-k, damped fusion, quotas, caps."""
+"""Search: postings, BM25, dense top-k, damped fusion, quotas, reserved seats."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import cut
+from .windows import ranks_within
 
 
 def postings(units: DataFrame, unit: str, fields: dict[str, float], terms: DataFrame, allowed: Column) -> DataFrame:
@@ -113,58 +114,11 @@ def interleave(hits: DataFrame, depth: int) -> DataFrame:
     its first occurrence."""
     first = Window.partitionBy("unit").orderBy("rank", "query_ord")
     kept = hits.filter(F.col("rank") <= depth).withColumn("rn", F.row_number().over(first)).filter("rn = 1")
-    return kept.withColumn("seat", F.row_number().over(Window.orderBy("rank", "query_ord"))).select("unit", "seat", "rank", "query_ord")
-
-
-SELECTED = "code string, unit long, seat int, phase string"
-
-
-def greedy_select(scored: DataFrame, limit: int, caps: dict[str, int], floors: dict[str, int] | None = None, reserved: int = 0) -> DataFrame:
-    """Choose up to ``limit`` units of each category (code) under joint caps.
-
-    Columns: code, unit, score, kind, dup (near-duplicate key), reserved_rank
-    (nullable), and one column per cap.  Phases: reserved seats in their order,
-    floors of kinds in alphabetical order (host cap waived), then by score.  A
-    row that one cap rejects uses up none of the others, which is why this is a
-    sequential scan of each category's short candidate list, not windows.
-    """
-    floors = floors or {}
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(["score", "unit"], ascending=[False, True])
-        used: dict[tuple, int] = {}
-        seen: set = set()
-        taken: dict[int, str] = {}
-
-        def admit(row, phase: str, waive: tuple = ()) -> bool:
-            if len(taken) >= limit or row.unit in taken or row.dup in seen:
-                return False
-            keys = [(c, getattr(row, c)) for c in caps if getattr(row, c) is not None]
-            if any(used.get(key, 0) >= caps[key[0]] for key in keys if key[0] not in waive):
-                return False
-            for key in keys:
-                used[key] = used.get(key, 0) + 1
-            seen.add(row.dup)
-            taken[row.unit] = phase
-            return True
-
-        seats = 0
-        for row in ranked[ranked["reserved_rank"].notna()].sort_values(["reserved_rank", "unit"]).itertuples():
-            if seats >= reserved:
-                break
-            seats += admit(row, "reserved")
-        kinds = dict(zip(pdf["unit"], pdf["kind"]))
-        for kind in sorted(floors):
-            for row in ranked[ranked["kind"] == kind].itertuples():
-                if sum(kinds[u] == kind for u in taken) >= floors[kind]:
-                    break
-                admit(row, "floor", ("host",))
-        for row in ranked.itertuples():
-            admit(row, "rank")
-        first = [u for u, phase in taken.items() if phase == "reserved"]
-        scores = dict(zip(pdf["unit"], pdf["score"]))
-        rest = sorted((u for u in taken if u not in first), key=lambda u: (-scores[u], u))
-        order = first + rest
-        return pd.DataFrame({"code": pdf["code"].iloc[0], "unit": order, "seat": range(1, len(order) + 1), "phase": [taken[u] for u in order]})
-
-    return scored.groupBy("code").applyInPandas(choose, SELECTED)
+    kept = cut(kept.select("unit", "rank", "query_ord"), "seats")
+    # Seats of a rank are counted by stretches of queries; only the few ranks are
+    # added up in one task.
+    sizes = kept.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("rank", F.coalesce(before, F.lit(0)).alias("offset"))
+    placed = ranks_within(kept, ["rank"], "query_ord").join(F.broadcast(offsets), "rank")  # one row for each rank
+    return placed.select("unit", (F.col("offset") + F.col("place")).alias("seat"), "rank", "query_ord")

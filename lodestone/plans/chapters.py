@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import chapters as C
 from ..operators import gaps as G
 from ..operators import selection as S
+from ..sources.shared import cut
 from ..sources.tables import spread, table
 from . import retrieval
 
@@ -20,7 +21,7 @@ def chapter_selection(spark, d):
     """Four items ask for each chapter; their keyword hits are fused, each query's
     best hit has a seat reserved, as have hits beyond its tenth place (as gaps)."""
     code = F.concat(F.lit("C"), F.floor(F.col("qid") / QUERIES_EACH).cast("string"))
-    hits = retrieval.bm25_topk(spark, d).withColumn("code", code).withColumn("part", 1 / (60 + F.col("rank")).cast("double"))
+    hits = cut(retrieval.bm25_topk(spark, d), "hits").withColumn("code", code).withColumn("part", 1 / (60 + F.col("rank")).cast("double"))
     fused = hits.groupBy("code", "unit").agg(
         F.round(F.max("part") + 0.2 * (F.sum("part") - F.max("part")), 9).alias("score"),
         F.min(F.when(F.col("rank") == 1, F.col("qid"))).alias("query_place"),

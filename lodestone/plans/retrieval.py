@@ -73,16 +73,6 @@ def interleave_reserved(spark, d):
     return out.select("unit", F.col("seat").cast("long").alias("seat"), "rank", "query_ord")
 
 
-def greedy_select(spark, d):
-    """Joint caps by source (host) and first word (entity), a floor for German
-    texts, the first two interleaved seats reserved."""
-    reserved = R.interleave(dense_topk(spark, d).withColumn("query_ord", F.col("qid")), 5).select("unit", F.col("seat").alias("reserved_rank"))
-    rows = _boosted(spark, d).join(reserved, "unit", "left").select(
-        F.lit("ALL").alias("code"), "unit", F.col("boosted").alias("score"), F.col("lang").alias("kind"), T.dedupe_key(F.col("text")).alias("dup"),
-        "reserved_rank", F.col("source").alias("host"), F.element_at(T.words(F.col("text")), 1).alias("entity"))
-    return R.greedy_select(rows, 24, {"host": 4, "entity": 2}, {"de": 3}, 2)
-
-
 def hybrid_retrieval(spark, d):
     """Flagship: both halves, damped fusion, boosts, the 24 best with at most two
     of a source."""
@@ -90,7 +80,7 @@ def hybrid_retrieval(spark, d):
     return best.orderBy(F.desc("boosted"), "unit").limit(24).select("unit", "source", "lang", "score", "boosted")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, damped_rrf, rescore_boosts, own_code_quota, interleave_reserved, greedy_select, hybrid_retrieval)}
+QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, damped_rrf, rescore_boosts, own_code_quota, interleave_reserved, hybrid_retrieval)}
 
 _BM25 = f"""
 tok AS (SELECT doc_id AS unit, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, 1.0 AS w FROM documents

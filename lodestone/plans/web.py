@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import windows as W
 from ..sources import files
+from ..sources.shared import cut
 from ..sources.tables import table
 
 ROOT, NEWS = "example.com", "news|press"
@@ -126,7 +127,8 @@ def first_seen_urls(spark, d):
 def harvest_frontier(spark, d):
     """What up to three rounds of links reach beyond the pages known before, each
     address in the round that found it."""
-    links = page_links(spark, d).select(U.page_key(F.col("url")).alias("parent"), U.page_key(F.col("link")).alias("child")).filter(F.col("child") != "").distinct()
+    links = page_links(spark, d).select(U.page_key(F.col("url")).alias("parent"), U.page_key(F.col("link")).alias("child")).filter(F.col("child") != "")
+    links = cut(links.distinct(), "links")  # every round joins them
     known = table(spark, d, "pages").select(U.page_key(F.col("url")).alias("url")).distinct()
     found = files.expand_sitemaps(links, known, 3)
     return found.filter(F.col("depth") > 0).select(F.col("node").alias("key"), F.col("depth").cast("long").alias("round"))
