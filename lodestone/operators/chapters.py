@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -133,5 +135,8 @@ def choose_units(candidates: DataFrame, rules: Rules = Rules(), fit_codes: tuple
         out["refused"] = out["unit"].map({u: r for u, r in chapter.refused.items() if u not in chapter.phase})
         return out.astype({"phase": object, "refused": object})
 
+    if not fit_codes:
+        return candidates.withColumn("any_fit", F.lit(False)).groupBy("code").applyInPandas(run, CHOSEN)
+    candidates = cut(candidates, "candidates")  # read for the gate and for the choice
     gate = candidates.agg(F.coalesce(F.max(F.col("fit") > 0), F.lit(False)).alias("any_fit"))
-    return candidates.crossJoin(F.broadcast(gate)).groupBy("code").applyInPandas(run, CHOSEN)
+    return candidates.crossJoin(F.broadcast(gate)).groupBy("code").applyInPandas(run, CHOSEN)  # one row

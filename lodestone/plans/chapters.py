@@ -31,7 +31,7 @@ def chapter_selection(spark, d):
     ), hits.filter(F.col("rank") <= 2)).select((F.floor(F.col("qid") / QUERIES_EACH)).alias("c"), "unit", F.col("place").alias("gap_place"))
     gaps = spare.groupBy(F.concat(F.lit("C"), F.col("c").cast("string")).alias("code"), "unit").agg(F.min("gap_place").alias("gap_place"))
     years = T.latest_year(F.col("text"))
-    units = table(spark, d, "documents").select(
+    units = spread(table(spark, d, "documents")).select(
         F.col("doc_id").alias("unit"), F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("page"), F.element_at(T.words(F.col("text")), 1).alias("entity"),
         F.col("source").alias("host"), F.col("lang").alias("kind"), T.dedupe_key(F.col("text")).alias("dup"), years.isNotNull().alias("boilerplate"))
     support = table(spark, d, "labels").groupBy(F.col("doc_id").alias("unit")).agg(F.max((F.col("quality") == 0)).alias("support"))
