@@ -20,10 +20,9 @@ def jaccard_personalisation(spark, d):
 
 def division_matrix(spark, d):
     """Pivot of documents by source and language, with distinct openings."""
-    docs = table(spark, d, "documents").withColumn("opening", F.element_at(T.words(F.col("text")), 1))
-    counts = docs.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0)
-    totals = docs.groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.countDistinct("opening").alias("openings"))
-    return counts.join(totals, "source")
+    docs = table(spark, d, "documents").withColumn("opening", T.first_word(F.col("text")))
+    counts = [F.count_if(F.col("lang") == lang).alias(lang) for lang in ("de", "en", "es", "fr")]
+    return docs.groupBy("source").agg(*counts, F.count(F.lit(1)).alias("units"), F.countDistinct("opening").alias("openings"))
 
 
 def readiness_gates(spark, d):
