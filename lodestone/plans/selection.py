@@ -45,7 +45,7 @@ def group_counts(spark, d):
 def readiness_divisions(spark, d):
     """Gates on the spread between divisions and on every division's floor."""
     docs = table(spark, d, "documents")
-    each = docs.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("facts"), F.countDistinct(F.element_at(T.words(F.col("text")), 1)).alias("names"))
+    each = docs.groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("facts"), F.countDistinct(T.first_word(F.col("text"))).alias("names"))
     m = each.agg(F.max("facts").alias("best"), F.min("facts").alias("worst"), F.count_if(F.col("facts") < 5).alias("under"), F.min("names").alias("names"))
     gate = lambda part, name, ok, detail: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), ok.alias("ok"), detail.cast("double").alias("detail"))
     ratio = F.round(F.col("best") / F.greatest("worst", F.lit(1)), 6)

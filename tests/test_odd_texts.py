@@ -44,6 +44,7 @@ def odd(spark, sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "coverage_by_category",
     "division_matrix",
+    "readiness_divisions",
 ])
 def test_odd_texts_match_sql(spark, odd, name):
     assert compare(QUERIES[name](spark, odd), duck(odd), ORACLES[name]) == ""
