@@ -12,9 +12,9 @@ from .graph import nodes_of
 
 def _units(spark, d):
     url = lambda kind, key: F.concat(F.lit(f"https://x/{kind}/"), F.col(key).cast("string"))
-    facts = U.as_units(table(spark, d, "benchmark"), "fact", "c", F.col("text"), F.lit(None).cast("string"), url("fact", "item_id"), [F.col("item_id")], code=F.lit("GEN"))
+    facts = U.as_units(table(spark, d, "benchmark"), "fact", "c", F.col("text"), None, url("fact", "item_id"), [F.col("item_id")], code=F.lit("GEN"))
     chunks = U.as_units(table(spark, d, "documents"), "chunk", "c", F.col("text"), F.col("source"), url("chunk", "doc_id"), [F.col("doc_id"), F.col("lang")])
-    orgs = U.as_units(table(spark, d, "supplier"), "org", "c", F.concat_ws(" ", F.lit("balance"), F.col("s_acctbal").cast("int").cast("string")), F.col("s_name"), url("org", "s_suppkey"), [F.col("s_suppkey")])
+    orgs = U.as_units(table(spark, d, "supplier"), "org", "c", F.concat(F.lit("balance "), F.col("s_acctbal").cast("int").cast("string")), F.col("s_name"), url("org", "s_suppkey"), [F.col("s_suppkey")])
     courses = U.as_units(table(spark, d, "part"), "course", "c", F.col("p_name"), F.col("p_brand"), url("course", "p_partkey"), [F.col("p_partkey")], [F.col("p_type")])
     return facts.unionByName(chunks).unionByName(orgs).unionByName(courses)
 

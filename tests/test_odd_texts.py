@@ -45,6 +45,7 @@ def odd(spark, sf_dir, tmp_path_factory):
     "coverage_by_category",
     "division_matrix",
     "readiness_divisions",
+    "unit_union",
 ])
 def test_odd_texts_match_sql(spark, odd, name):
     assert compare(QUERIES[name](spark, odd), duck(odd), ORACLES[name]) == ""
