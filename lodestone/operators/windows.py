@@ -65,8 +65,9 @@ def first_appearance_numbers(rows: DataFrame, chapter: str, source: str, pos: st
 def dense_ids(rows: DataFrame, pos: str, width: int = 65_536) -> DataFrame:
     """Dense 0-based row ids in order of an integral ``pos``, without sorting all
     rows in one task: counts of each stretch of ``width`` positions give the
-    offsets, ranks are taken within stretches."""
-    placed = rows.withColumn("stretch", F.floor(F.col(pos) / width).cast("long"))
+    offsets, ranks are taken within stretches.  Null positions come last."""
+    last = F.lit((1 << 63) - 1)  # no position is in that stretch
+    placed = rows.withColumn("stretch", F.coalesce(F.floor(F.col(pos) / width).cast("long"), last))
     counts = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.withColumn("offset", before).select("stretch", "offset")

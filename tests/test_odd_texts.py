@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import plans
 from lodestone.functions import text as T
+from lodestone.operators import windows as W
 
 QUERIES, ORACLES = plans.queries(), plans.oracles()
 TEXTS = (None, "", "   ", "\n\n", "\x0b", "！？", "中文文本 三", "İstanbul 1999", "K2 and more", "Größe 123 in 2019", "die Ausmaßen 123 x", "CSCI 567é and éAB 123",
@@ -27,6 +28,16 @@ def folder(spark, sf_dir, path, rows):
     return str(path)
 
 
+@pytest.mark.parametrize("text, upper", [("straße", "STRAẞE"), ("ŉᾳ", "ŉᾼ"), ("de", "DE"), ("", ""), (None, None)])
+def test_upper_case_character_by_character(spark, text, upper):
+    assert spark.createDataFrame([(text,)], "t string").select(T.upper_each(F.col("t")).alias("x")).first()["x"] == upper
+
+
+def test_dense_ids_keep_null_positions_last(spark):
+    rows = W.dense_ids(spark.createDataFrame([(5,), (None,), (-3,), (200_000,)], "x long"), "x").collect()
+    assert {r["x"]: r["row_id"] for r in rows} == {-3: 0, 5: 1, 200_000: 2, None: 3}
+
+
 @pytest.mark.parametrize("text, word", [("", None), (None, None), ("！？", None), ("  --Ab9c d", "ab9c"), ("İstanbul", "istanbul"), ("é\u212aa", "ka")])
 def test_first_word(spark, text, word):
     row = spark.createDataFrame([(text,)], "t string").select(T.first_word(F.col("t")).alias("x")).first()
@@ -46,6 +57,7 @@ def odd(spark, sf_dir, tmp_path_factory):
     "division_matrix",
     "readiness_divisions",
     "unit_union",
+    "unit_projection",
 ])
 def test_odd_texts_match_sql(spark, odd, name):
     assert compare(QUERIES[name](spark, odd), duck(odd), ORACLES[name]) == ""
