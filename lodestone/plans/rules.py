@@ -100,8 +100,9 @@ def url_gate(spark, d):
 
 def course_codes(spark, d):
     """Codes and levels that passages name."""
-    code = F.regexp_extract_all("body", F.lit(R.COURSE_CODE), F.lit(0))
-    return noted(spark, d).select("doc_id", F.array_join(code, ",").alias("codes"), F.array_max(R.course_levels(F.col("body"))).alias("level")).filter(F.col("codes") != "")
+    body = F.col("body")  # most texts hold none: only the others are searched again
+    found = noted(spark, d).filter(body.rlike(R.ascii_word(R.COURSE_CODE)))
+    return found.select("doc_id", F.array_join(R.course_codes(body), ",").alias("codes"), F.array_max(R.course_levels(body)).alias("level"))
 
 
 def named_things(spark, d):

@@ -58,6 +58,7 @@ def odd(spark, sf_dir, tmp_path_factory):
     "readiness_divisions",
     "unit_union",
     "unit_projection",
+    "course_codes", "marker_gate",
 ])
 def test_odd_texts_match_sql(spark, odd, name):
     assert compare(QUERIES[name](spark, odd), duck(odd), ORACLES[name]) == ""
