@@ -42,7 +42,9 @@ class Rules:
     def traits(self, row) -> list[tuple[str, object, int]]:
         """Traits that a unit uses up, each with how many units may have it."""
         found = [("text", row.dup, 1)] if row.dup else []
-        found += [("page", row.page, self.page), ("entity", row.entity, self.entity), ("host", row.host, self.host)]
+        found += [("page", row.page, self.page)]
+        found += [("entity", row.entity, self.entity)] if row.entity else []  # units without one share none
+        found += [("host", row.host, self.host)]
         if row.kind in self.kinds:
             found.append(("kind", row.kind, self.kinds[row.kind]))
         if row.support:

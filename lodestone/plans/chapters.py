@@ -32,10 +32,14 @@ def chapter_selection(spark, d):
     gaps = spare.groupBy(F.concat(F.lit("C"), F.col("c").cast("string")).alias("code"), "unit").agg(F.min("gap_place").alias("gap_place"))
     years = T.latest_year(F.col("text"))
     units = spread(table(spark, d, "documents")).select(
-        F.col("doc_id").alias("unit"), F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("page"), F.element_at(T.words(F.col("text")), 1).alias("entity"),
+        F.col("doc_id").alias("unit"), F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("page"), T.first_word(F.col("text")).alias("entity"),
         F.col("source").alias("host"), F.col("lang").alias("kind"), T.dedupe_key(F.col("text")).alias("dup"), years.isNotNull().alias("boilerplate"))
     support = table(spark, d, "labels").groupBy(F.col("doc_id").alias("unit")).agg(F.max((F.col("quality") == 0)).alias("support"))
     rows = fused.join(gaps, ["code", "unit"], "left").join(units, "unit").join(support, "unit", "left").withColumn("support", F.coalesce("support", F.lit(False)))
+    # A repeated id is one candidate: of its rows the smallest is taken.
+    traits = ["page", "entity", "host", "kind", "dup", "boilerplate"]
+    once = Window.partitionBy("code", "unit").orderBy(*traits)
+    rows = rows.withColumn("rn", F.row_number().over(once)).filter("rn = 1").drop("rn")
     place = F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.length("dup"), "unit"))
     rows = rows.withColumn("kind_place", F.when(F.col("kind") == "fr", place)).withColumn("fit", F.lit(None).cast("int")).withColumn("gap_score", F.lit(None).cast("double"))
     return C.choose_units(rows, RULES).filter(F.col("seat").isNotNull()).select("code", "unit", "seat", "phase")

@@ -33,6 +33,10 @@ def test_caps(spark, trait, most):
     assert set(refused) == set(range(most, 6)) and set(refused.values()) == {"text" if trait == "dup" else trait}
 
 
+def test_units_without_an_entity_share_none(spark):
+    assert [u for u, _ in chosen(spark, [row(i, 1 - i / 10, entity=None) for i in range(4)])[0]] == [0, 1, 2, 3]
+
+
 def test_support_boilerplate_and_kind(spark):
     rules = C.Rules(size=8)
     rows = [row(i, 1 - i / 100, support=True) for i in range(4)] + [row(10 + i, 0.8 - i / 100, boilerplate=True) for i in range(6)]

@@ -44,6 +44,21 @@ def test_first_word(spark, text, word):
     assert row["x"] == word
 
 
+def test_chapters_with_wordless_texts_and_repeated_ids(spark, sf_dir, tmp_path):
+    """Short wordless texts are no candidates, like missing ones; an id that comes
+    twice is one candidate."""
+    found = []
+    for i, text in enumerate(("！？", None)):
+        (tmp_path / str(i)).mkdir()
+        d = folder(spark, sf_dir, tmp_path / str(i), [(1000 + j, text, "en", "src1") for j in range(3)])
+        found.append(sorted(map(tuple, QUERIES["chapter_selection"](spark, d).collect())))
+    assert found[0] == found[1] != []
+    (tmp_path / "twice").mkdir()
+    again = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat("text", F.lit(" end")), "lang", "source").collect()]
+    units = [(r["code"], r["unit"]) for r in QUERIES["chapter_selection"](spark, folder(spark, sf_dir, tmp_path / "twice", again)).collect()]
+    assert len(units) == len(set(units)) > 0
+
+
 @pytest.fixture(scope="module")
 def odd(spark, sf_dir, tmp_path_factory):
     """Every odd text in a known source and language, without either, and with blank ones."""
